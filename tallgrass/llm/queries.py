@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact import exact_groups
+from .licenses import scan_licenses
+from .lines import line_digests
 from .packing import pack
 from .quality import quality_rules
 from .simhash import near_components
 from .substring import substring_digests
+from .urls import judge_urls
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,19 +24,41 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a repository for each source: a tenth of them are license files, at three depths."""
+    doc = F.col("doc_id")
+    name = F.when(doc % 10 == 0, F.concat(F.lit("LICENSE-"), doc)).otherwise(F.concat(doc, F.lit(".txt")))
+    directory = F.when(doc % 100 == 0, F.col("source")).when(doc % 20 == 0, F.concat_ws("/", "source", "lang")).otherwise(F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), doc % 13)))
+    return docs.select("doc_id", F.concat_ws("/", directory, name).alias("path"), "text")
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(as_files(table(spark, sf_dir, "documents")), "doc_id", "path", "text")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op4_simhash_near_dedup, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_exact_dedup, op3_url_filters, op4_simhash_near_dedup, op5_line_dedup, op8_best_fit_packing, op9_license_scans, op10_substring_dedup,
+)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
@@ -40,6 +66,37 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 WINDOW g AS (PARTITION BY norm)
+""",
+    "op3_url_filters": r"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+s AS (SELECT *, CASE WHEN regexp_matches(host || path, '^([^/]*\.)?example\.org/en/1') THEN 'example.org/en/1'
+                     WHEN regexp_matches(host || path, '^([^/]*\.)?example\.org/es/') THEN 'example.org/es/'
+                     WHEN regexp_matches(host || path, '^([^/]*\.)?com/fr/') THEN 'com/fr/'
+                     WHEN regexp_matches(host || path, '^([^/]*\.)?com/de/') THEN 'com/de/'
+                     WHEN regexp_matches(host || path, '^([^/]*\.)?org/') THEN 'org/' END AS rule FROM p),
+m AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL ELSE (
+        SELECT arg_max(name, len(name)) FROM (VALUES
+          ('||spam-farm.', '^([^/]*\.)?spam-farm\.'), ('||cheap-pills.', '^([^/]*\.)?cheap-pills\.'), ('||casino.', '^([^/]*\.)?casino\.'),
+          ('||free-casino.', '^([^/]*\.)?free-casino\.'), ('||poker-online.', '^([^/]*\.)?poker-online\.'), ('||adult.', '^([^/]*\.)?adult\.'),
+          ('||xxx.', '^([^/]*\.)?xxx\.'), ('||porn.', '^([^/]*\.)?porn\.'), ('||torrents.', '^([^/]*\.)?torrents\.'), ('||warez.', '^([^/]*\.)?warez\.'),
+          ('||buy-followers.', '^([^/]*\.)?buy-followers\.'), ('^affiliate^*^click^', '[^A-Za-z0-9_.%-]affiliate[^A-Za-z0-9_.%-].*[^A-Za-z0-9_.%-]click([^A-Za-z0-9_.%-]|$)'),
+          ('^doorway^', '[^A-Za-z0-9_.%-]doorway([^A-Za-z0-9_.%-]|$)'), ('^wp-login.php^', '[^A-Za-z0-9_.%-]wp-login\.php([^A-Za-z0-9_.%-]|$)'),
+          ('^robots.txt^', '[^A-Za-z0-9_.%-]robots\.txt([^A-Za-z0-9_.%-]|$)')) AS t(name, regex)
+        WHERE regexp_matches(host || path, regex)) END AS pattern FROM s)
+SELECT page_id, host, path, rule, pattern,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN pattern = '^robots.txt^' THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM m
+""",
+    "op5_line_dedup": r"""
+WITH l AS (SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t
+           FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+bad AS (SELECT t FROM l WHERE t != '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS left_text FROM l WHERE t NOT IN (SELECT t FROM bad) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines,
+       (coalesce(len(string_split(text, chr(10))), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(left_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
 """,
     "op10_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
