@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact import exact_groups
+from .html import extract
 from .licenses import scan_licenses
 from .lines import line_digests
 from .packing import pack
+from .pieces import decode, encode
 from .quality import quality_rules
 from .simhash import near_components
 from .substring import substring_digests
@@ -36,6 +38,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids, joined by commas), round_trip (decoding gives the text again)."""
+    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -57,7 +69,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_exact_dedup, op3_url_filters, op4_simhash_near_dedup, op5_line_dedup, op8_best_fit_packing, op9_license_scans, op10_substring_dedup,
+    op1_quality_rules, op2_exact_dedup, op3_url_filters, op4_simhash_near_dedup, op5_line_dedup,
+    op6_sentencepiece, op7_html_extraction, op8_best_fit_packing, op9_license_scans, op10_substring_dedup,
 )}
 
 ORACLES: dict[str, str] = {
