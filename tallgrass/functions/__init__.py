@@ -1,0 +1 @@
+"""Column expressions: paths, package names, comments and import statements."""

@@ -1,0 +1 @@
+"""The audit: which declared packages are used, how and where."""

@@ -1,0 +1 @@
+"""Whole plans: from project roots to reports."""

@@ -1,0 +1 @@
+"""Readers: files of projects, and their manifests."""

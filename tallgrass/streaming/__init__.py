@@ -1,0 +1,2 @@
+"""Nothing here streams: an audit reads projects as they lie. Extraction is row by row and works on a stream of files as it
+is; see tests/test_streaming.py."""
