@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, runs_of, sliced
+from .common import BROADCAST_ROWS, arrow_map, as_bytes, checked_small, cut, runs_of, sliced
 
 #: Words in a window; words in an anchor. The window's anchor is that of its ANCHOR-word runs with the least hash:
 #: windows of the same words have the same anchor, and neighbouring windows mostly share theirs.
@@ -160,9 +160,35 @@ def sketched(rows: DataFrame, bits: int, window: int) -> list[np.ndarray]:
     return [out[i * SHARDS : (i + 1) * SHARDS].reshape(-1) for i in range(ROWS)]
 
 
+def tag_of(text: Column) -> Column:
+    """31 bits of a text's hash, so that rows with equal ids and different texts are told apart."""
+    return F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
+
+
+def copies(rows: DataFrame, window: int) -> DataFrame:
+    """(id, tag, runs) of the texts whose words are all those of a text with a smaller id: they go whole.
+
+    Only one text of each content is looked into for windows; its id is the smallest, so that nothing is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [x.split() for x in as_bytes(batch.column("text"))]
+            content = [xxhash.xxh3_128_digest(b" ".join(x)) for x in words]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array([len(x) for x in words], pa.int32()), pa.array(content, pa.binary())], names=["id", "tag", "n", "content"])
+
+    slim = cut(arrow_map(rows, run, "id long, tag int, n int, content binary").where(F.col("n") >= window))
+    least = slim.groupBy("content").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("content").alias("of"), "least")
+    later = slim.join(least, F.col("content") == F.col("of")).where("id > least")
+    return later.select("id", "tag", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("length"))).alias("runs")).distinct()
+
+
 def repeated(rows: DataFrame, window: int) -> DataFrame:
-    """(id, tag, places: array<int>) of each text with windows that also start in a text with a smaller id."""
+    """(id, tag, runs: array of (start, length)) of each text with words to remove. rows: (id, tag, text)."""
     spark = rows.sparkSession
+    whole = cut(copies(rows, window))
+    gone = checked_small(whole.select(F.col("id").alias("gone"), F.col("tag").alias("gone_tag")))
+    rows = rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("tag") == F.col("gone_tag")), "left_anti")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     expected = size // 6 // 5  # words of six characters, and an anchor for each five of them
     width = min(MOST, max(LEAST, 1 << (max(1, ROOM * expected) - 1).bit_length()))
@@ -173,8 +199,7 @@ def repeated(rows: DataFrame, window: int) -> DataFrame:
         known: dict[bytes, int] = {}
         maps = sketch.value
         for batch in sliced(batches, "text", CHUNK):
-            texts = as_bytes(batch.column("text"))
-            w = Windows(texts, known, window)
+            w = Windows(as_bytes(batch.column("text")), known, window)
             maybe = np.ones(len(w.anchor), dtype=bool)
             for row in range(ROWS):
                 cell = cells(w.anchor, row, bits)
@@ -182,42 +207,53 @@ def repeated(rows: DataFrame, window: int) -> DataFrame:
             at = np.flatnonzero(maybe)
             if not len(at):
                 continue
-            text = w.text_of()[at]
-            place = runs_of(w.many)[at]
-            tags = np.array([xxhash.xxh3_64_intdigest(x) & 0x7FFFFFFF for x in texts], dtype=np.int32)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            text, place = w.text_of()[at], runs_of(w.many)[at]
+            ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             yield from pa.Table.from_arrays([pa.array(w.h1[at].view(np.int64)), pa.array((w.h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[text]), pa.array(tags[text]), pa.array(place.astype(np.int32))], names=["h1", "h2", "id", "tag", "place"]).to_batches(max_chunksize=1 << 16)
 
     def found() -> DataFrame:
         return arrow_map(rows, candidates, "h1 long, h2 int, id long, tag int, place int")
 
-    least = found().groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
-    all_rows = found()
-    later = all_rows.join(least, (all_rows["h1"] == least["g1"]) & (all_rows["h2"] == least["g2"])).where("id > least")
-    return later.groupBy("id", "tag").agg(F.collect_set("place").alias("places"))
-
-
-def kept_words(words: list[bytes], places: np.ndarray, window: int) -> np.ndarray:
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(change, places, 1)
-    np.add.at(change, np.minimum(places + window, len(words)), -1)
-    return np.cumsum(change[:-1]) == 0
-
-
-def with_places(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(row, spots): docs' rows as structs, and the places of repeated windows of the texts with the row's id."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
-    found = repeated(rows, window)
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("key"))
-    spots = found.groupBy("id").agg(F.collect_list(F.struct("tag", "places")).alias("spots"))
-    return row.join(spots, row["key"] == spots["id"], "left").select("row", "spots")
-
+    def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column("places").to_pylist():
+                runs: list[list[int]] = []
+                for p in sorted(places):
+                    if runs and p <= runs[-1][0] + runs[-1][1]:
+                        runs[-1][1] = p + window - runs[-1][0]
+                    else:
+                        runs.append([p, window])
+                out.append([{"start": a, "length": n} for a, n in runs])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))], names=["id", "tag", "runs"])
 
-def places_of(text: bytes, spots: list | None) -> np.ndarray:
-    if not spots:
-        return np.zeros(0, dtype=np.int64)
-    tag = xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF
-    return np.array([p for s in spots if s["tag"] == tag for p in s["places"]], dtype=np.int64)
+    least = found().groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
+    later = found().join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where("id > least")
+    parts = arrow_map(later.groupBy("id", "tag").agg(F.collect_set("place").alias("places")), to_runs, "id long, tag int, runs array<struct<start:int,length:int>>")
+    return parts.unionAll(whole)
+
+
+def with_runs(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(row, runs): docs' rows as structs, and the runs of words to remove from the text, null if there are none."""
+    key, tag = docs[id_col].cast("long"), tag_of(docs[text_col])
+    found = cut(repeated(docs.select(key.alias("id"), tag.alias("tag"), docs[text_col].alias("text")).where("id is not null"), window))
+    n, runs = found.agg(F.count("*"), F.sum(F.size("runs"))).first()
+    if max(n, runs or 0) <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key.alias("key"), tag.alias("key_tag"))
+    return row.join(found, (F.col("key") == F.col("id")) & (F.col("key_tag") == F.col("tag")), "left").select("row", "runs")
+
+
+def left_words(text: bytes, runs: list | None) -> tuple[int, list[bytes]]:
+    """How many words the text has, and those outside the runs."""
+    words = text.split()
+    if not runs:
+        return len(words), words
+    out, at = [], 0
+    for r in runs:
+        out += words[at : r["start"]]
+        at = r["start"] + r["length"]
+    return len(words), out + words[at:]
 
 
 def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -230,18 +266,13 @@ def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, sha = [], [], []
-            for text, spots in zip(as_bytes(batch.column("row").field("text")), batch.column("spots").to_pylist(), strict=True):
-                words, places = text.split(), places_of(text, spots)
-                keep = kept_words(words, places, window) if len(places) else np.ones(len(words), dtype=bool)
-                left = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                total.append(len(words))
-                gone.append(len(words) - len(left))
-                sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            found = [left_words(*x) for x in zip(as_bytes(batch.column("row").field("text")), batch.column("runs").to_pylist(), strict=True)]
+            total, gone = [n for n, _ in found], [n - len(left) for n, left in found]
+            sha = [hashlib.sha256(b" ".join(left)).hexdigest() for _, left in found]
             yield pa.RecordBatch.from_arrays([batch.column("row").field("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    placed = with_places(slim, "id", "text", window)
+    placed = with_runs(slim, "id", "text", window)
     kind = slim.schema["id"].dataType.simpleString()
     return arrow_map(placed, run, f"id {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
@@ -258,16 +289,11 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             row = batch.column("row")
             fields = [row.field(i) for i in range(row.type.num_fields)]
             texts, lost, whole = fields[at].to_pylist(), [], []
-            for i, (text, spots) in enumerate(zip(as_bytes(fields[at]), batch.column("spots").to_pylist(), strict=True)):
-                places = places_of(text, spots)
-                left = True
-                if len(places):
-                    words = text.split()
-                    keep = kept_words(words, places, window)
-                    texts[i] = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode("utf-8", "replace")
-                    left = bool(texts[i])
+            for i, (text, runs) in enumerate(zip(as_bytes(fields[at]), batch.column("runs").to_pylist(), strict=True)):
+                if runs:
+                    texts[i] = b" ".join(left_words(text, runs)[1]).decode("utf-8", "replace")
                     lost.append(i)
-                whole.append(left)
+                whole.append(not runs or bool(texts[i]))
             fields[at] = pa.array(texts, fields[at].type)
             if chars is not None and lost:
                 counts = fields[chars].to_pylist()
@@ -276,5 +302,5 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fields[chars] = pa.array(counts, fields[chars].type)
             yield pa.RecordBatch.from_arrays(fields, names=names).filter(pa.array(whole, pa.bool_()))
 
-    placed = with_places(docs, id_col, text_col, window)
+    placed = with_runs(docs, id_col, text_col, window)
     return arrow_map(placed, run, docs.schema)
