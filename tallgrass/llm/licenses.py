@@ -128,7 +128,7 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
         scorer = Scorer(templates, {t: df.get(t, 0) for t in vocabulary}, n, threshold)
         for batch in sliced(batches, "text", CHUNK):
             out = [scorer.scan(x) for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([x[1] for x in out], pa.string()), pa.array([x[0] for x in out], pa.float64())], names=["id", "path", "own_license", "own_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([x[1] for x in out], pa.string()), pa.array([round(x[0], 9) for x in out], pa.float64())], names=["id", "path", "own_license", "own_score"])
 
     kind = rows.schema["id"].dataType.simpleString()
     scanned = cut(arrow_map(rows, run, f"id {kind}, path string, own_license string, own_score double"))

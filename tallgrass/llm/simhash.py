@@ -170,8 +170,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = connected_components(near_links(nodes.select("fp"), radius))
     whole = nodes.join(linked, nodes["fp"] == linked["node"]).groupBy("component").agg(F.min("least").alias("whole"))
     named = linked.join(whole, "component").select("node", "whole")
-    each = nodes.join(named, nodes["fp"] == named["node"], "left").select(nodes["fp"].alias("of"), F.coalesce("whole", "least").alias("component_id"))
-    return slim.join(each, slim["fp"] == each["of"]).select(slim["id"].alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a second key, so that the grouped side is dealt anew and AQE may split the partition of a very common fingerprint
+    second = F.pmod(slim["fp"], F.lit(16))
+    each = nodes.join(named, nodes["fp"] == named["node"], "left").select(nodes["fp"].alias("of"), F.pmod(nodes["fp"], F.lit(16)).alias("of_second"), F.coalesce("whole", "least").alias("component_id"))
+    return slim.join(each, (slim["fp"] == each["of"]) & (second == each["of_second"])).select(slim["id"].alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
