@@ -15,14 +15,18 @@ WORD_END, WORD_START = r"(?!\w)", r"(?<!\w)"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 LINE_COMMENT = r"//[^\n\r\x{2028}\x{2029}]*"
 GENERAL = (
-    rf"import(?!{S}+type{WORD_END})(?!{S}*\{{[^}}]*?{WORD_START}type{S}+\w+{WORD_END}[^}}]*\}})"
+    rf"(?=[ir])(?:import(?!{S}+type{WORD_END})(?!{S}*\{{[^}}]*?{WORD_START}type{S}+\w+{WORD_END}[^}}]*\}})"
     rf"(?:{S}+[\w*{WHITE}{{}},]*{S}+from{S}+)?{S}*{PATH}"
-    rf"|require{S}*\({S}*{PATH}{S}*\)"
+    rf"|require{S}*\({S}*{PATH}{S}*\))"
 )
 TYPES = rf"import{S}+type{S}+[^'\"]+from{S}+{PATH}"
 MIXED = rf"import{S}*\{{[^}}]+\}}{S}*from{S}+{PATH}"
 # End of the fixed values.
 
+#: Stands around matches while they are cut out; in a source it is taken for its neighbour U+FFFE.
+MARK, MARK_TO = "\uffff", "\ufffe"
+NONE = "array<string>"
+
 
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{S}+|{S}+\z", "")
@@ -32,12 +36,16 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def cut_out(code: Column, pattern: str) -> Column:
+    """What lies between the matches of a pattern, and the matches, in turn: one scan marks them, a split cuts at the marks."""
+    return F.split(F.regexp_replace(code, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
 def strip_comments(code: Column) -> Column:
     """Block comments become their newlines, then line comments go; lines keep their numbers."""
-    between = F.split(code, BLOCK_COMMENT, -1)
-    kept = F.transform(F.regexp_extract_all(code, F.lit(BLOCK_COMMENT), F.lit(0)), lambda m: F.regexp_replace(m, r"[^\n]", ""))
-    joined = F.array_join(F.zip_with(between, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.regexp_replace(joined, LINE_COMMENT, "")
+    clean = F.when(code.contains(MARK), F.translate(code, MARK, MARK_TO)).otherwise(code)
+    parts = F.transform(cut_out(clean, BLOCK_COMMENT), lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, r"[^\n]+", "")).otherwise(x))
+    return F.regexp_replace(F.when(code.contains("/*"), F.array_join(parts, "")).otherwise(clean), LINE_COMMENT, "")
 
 
 def line_at(text: Column, offset: Column) -> Column:
@@ -45,15 +53,11 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.lit(1) + newlines(F.substring(text, F.lit(1), offset))
 
 
-def statements(code: Column, pattern: str, number: int) -> Column:
-    """An array of (pass, seq, line, statement) of the matches of a pattern, from left to right.
-
-    What lies between matches gives their lines: newlines of everything before are added up."""
-    found = F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
-    before = F.transform(F.split(code, pattern, -1), newlines)
-    inside = F.transform(found, newlines)
-    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, b: a + b)
-    return F.transform(found, lambda m, i: F.struct(F.lit(number).alias("pass"), i.alias("match_seq"), (F.lit(1) + total(before, i + 1) + total(inside, i)).alias("line"), m.alias("statement")))
+def lines_of(parts: Column) -> Column:
+    """The line on which each part begins; the newlines of the parts are added up in one pass."""
+    start = F.struct(F.array().cast("array<int>").alias("lines"), F.lit(1).alias("now"))
+    step = lambda acc, n: F.struct(F.concat(acc["lines"], F.array(acc["now"])).alias("lines"), (acc["now"] + n).alias("now"))
+    return F.aggregate(F.transform(parts, newlines), start, step)["lines"]
 
 
 def specifier_type(statement: Column) -> Column:
@@ -70,9 +74,18 @@ def extract_imports(files: DataFrame, content: str = "content") -> DataFrame:
     Comments are stripped once; the three passes read the same text and their matches are exploded together, so that a
     file is one row of one narrow stage."""
     others = [c for c in files.columns if c != content]
-    stripped = files.select(*others, strip_comments(F.col(content)).alias("_code"))
     code = F.col("_code")
-    rows = stripped.select(*others, F.explode(F.concat(statements(code, GENERAL, 1), statements(code, TYPES, 2), statements(code, MIXED, 3))).alias("_m"))
+    passes = {1: (GENERAL, code.contains("import") | code.contains("require")), 2: (TYPES, code.contains("type")), 3: (MIXED, code.contains("type "))}
+    stripped = files.select(*others, strip_comments(F.col(content)).alias("_code"))
+    # each pattern runs once over a file that can have it; its parts are held in columns, as the lambda below would cut again for each match
+    found = stripped.select(*others, *(F.when(needed, cut_out(code, p)).otherwise(F.array().cast(NONE)).alias(f"_f{n}") for n, (p, needed) in passes.items()))
+    placed = found.select("*", *(lines_of(F.col(f"_f{n}")).alias(f"_l{n}") for n in passes))
+
+    def matches(n: int) -> Column:
+        every = F.transform(f"_f{n}", lambda m, i: F.when(i % 2 == 1, F.struct(F.lit(n).alias("pass"), F.floor(i / 2).cast("int").alias("match_seq"), F.get(F.col(f"_l{n}"), i).alias("line"), m.alias("statement"))))
+        return F.array_compact(every)
+
+    rows = placed.select(*others, F.explode(F.concat(*map(matches, passes))).alias("_m"))
     statement = F.col("_m.statement")
     path = F.regexp_extract(statement, rf"{QUOTE}([^'\"]+){QUOTE}{S}*\)?\z", 1)
     kind = F.when(F.col("_m.pass") == 1, RUNTIME).when(F.col("_m.pass") == 2, TYPE_ONLY).otherwise(specifier_type(statement))
