@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,11 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Longer words are merged one by one; words whose pieces are remembered by a worker.
-LONG, KNOWN = 64, 1 << 19
-CHUNK = 2 << 20
+#: Longer words are merged one by one; words of each of two generations whose pieces a worker remembers.
+LONG, KNOWN = 64, 1 << 17
+CHUNK = 4 << 20
+#: Leading bits of a key that tell where to look.
+LEAD = 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +52,26 @@ def fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
+
+
+class Known:
+    """Pieces of the words seen lately: two generations of bounded size, the older dropped as a whole."""
+
+    def __init__(self, model: Model):
+        self.model, self.young, self.old = model, {}, {}
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        if len(self.young) > KNOWN:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = {w for words in texts for w in words if w not in young}
+        young.update((w, old[w]) for w in new if w in old)
+        young.update(self.model.encode_words([w for w in new if w not in old]))
+        return [b"".join(map(young.__getitem__, words)) for words in texts]
+
+
 class Model:
     """A SentencePiece vocabulary with the identity normaliser."""
 
@@ -89,10 +110,11 @@ class Model:
         keys = self.mixed(np.array([self.key(np.frombuffer(self.pieces[i].encode("utf-32-le"), dtype=np.uint32)) for i in normal], dtype=np.uint64))
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, dtype=np.int32)[order]
-        #: where the keys with each of 65536 leading values begin, and how many share one at most
-        bounds = np.searchsorted(self.keys >> np.uint64(48), np.arange(65537, dtype=np.uint64))
+        #: where the keys with each leading value begin, and how many share one at most
+        bounds = np.searchsorted(self.keys >> np.uint64(64 - LEAD), np.arange((1 << LEAD) + 1, dtype=np.uint64))
         self.begin, self.crowd = bounds[:-1].astype(np.int32), int(np.diff(bounds).max(initial=0))
         self.keys = np.concatenate([self.keys, np.zeros(self.crowd + 1, dtype=np.uint64)])
+        self.ids = np.concatenate([self.ids, np.full(self.crowd + 1, -1, dtype=np.int32)])
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have the same hash")
         self.raw = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (" ⁇ " if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
@@ -114,11 +136,12 @@ class Model:
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """The pieces with these hashes; -1 where there is none. The leading bits tell where to look in the sorted keys."""
         keys = self.mixed(keys)
-        at = self.begin[keys >> np.uint64(48)]
-        found = np.full(keys.shape, -1, dtype=np.int32)
-        for k in range(self.crowd):
-            here = np.flatnonzero((self.keys[at + k] == keys).ravel())
-            found.ravel()[here] = self.ids[at.ravel()[here] + k]
+        at = self.begin[keys >> np.uint64(64 - LEAD)]
+        found = np.where(self.keys[at] == keys, self.ids[at], -1)
+        for k in range(1, self.crowd):
+            here = self.keys[at + k] == keys
+            if here.any():
+                found[here] = self.ids[at[here] + k]
         return found
 
     def words(self, text: str) -> list[str]:
@@ -139,20 +162,23 @@ class Model:
             out.append(SPACE * spaces)
         return out
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        out: dict[str, list[int]] = {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word's pieces, as bytes of int32."""
+        out: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             if self.kind == BPE and length > LONG:
-                out.update((w, self.ids_of(w, self.merge_long(w))) for w in group)
+                out.update((w, pack_ids(self.ids_of(w, self.merge_long(w)))) for w in group)
                 continue
             chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, length)
             for rows, cuts, pieces in self.merged(chars) if self.kind == BPE else self.viterbi(chars):
-                plain = (pieces >= 0).all(1)
-                for k, own, known, ends in zip(rows.tolist(), pieces.tolist(), plain.tolist(), cuts, strict=True):
-                    out[group[k]] = own if known else self.ids_of(group[k], ends.tolist())
+                blob, size = pieces.astype("<i4").tobytes(), 4 * pieces.shape[1]
+                for at, k in enumerate(rows.tolist()):
+                    out[group[k]] = blob[at * size : (at + 1) * size]
+                for at in np.flatnonzero((pieces < 0).any(1)).tolist():
+                    out[group[rows[at]]] = pack_ids(self.ids_of(group[rows[at]], cuts[at].tolist()))
         return out
 
     def hashes(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +226,7 @@ class Model:
         best pair, the leftmost of equals, until none has any. Only the pairs beside a merge are probed anew."""
         n, length = chars.shape
         prefix, power = self.hashes(chars)
-        cuts, who = np.tile(np.arange(length + 1), (n, 1)), np.arange(n)
+        cuts, who = np.tile(np.arange(length + 1, dtype=np.int32), (n, 1)), np.arange(n)
 
         def pairs(rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
             piece = self.probe(prefix[rows, end] - prefix[rows, begin] * power[end - begin])
@@ -292,16 +318,12 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model_
     row_schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(blob), {}
+        model = Model(blob)
+        known = Known(model)
         for batch in sliced(batches, text_col, CHUNK):
-            texts = [model.words(x or "") for x in batch.column(at).to_pylist()]
-            if len(known) > KNOWN:
-                known.clear()
-            new = {w for words in texts for w in words if w not in known}
-            known.update(model.encode_words(list(new)))
-            ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int32) for words in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)))
+            ids = known.ids([model.words(x or "") for x in batch.column(at).to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids_col])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -320,11 +342,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(blob)
         for batch in batches:
-            texts = []
             column = batch.column(at)
-            offsets, values = column.offsets.to_pylist(), column.values.to_pylist()
-            for i in range(len(column)):
-                texts.append(model.decode(values[offsets[i] : offsets[i + 1]]) if column[i].is_valid else "")
+            bounds, values = column.offsets.to_numpy().tolist(), column.values.to_numpy().tolist()
+            texts = [model.decode(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
     return arrow_map(rows, run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))

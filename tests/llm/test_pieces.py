@@ -4,9 +4,11 @@ import random
 import struct
 from pathlib import Path
 
+import numpy as np
 import pytest
 
-from tallgrass.llm.pieces import MODEL, UNIGRAM, Model, decode, encode, load
+from tallgrass.llm import pieces
+from tallgrass.llm.pieces import MODEL, UNIGRAM, Known, Model, decode, encode, load
 
 sentencepiece = pytest.importorskip("sentencepiece")
 pytestmark = pytest.mark.skipif(not Path(MODEL).exists(), reason="no vocabulary file")
@@ -22,6 +24,10 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
+def ids_of(model, words):
+    return np.frombuffer(Known(model).ids([words])[0], dtype="<i4").tolist()
+
+
 def fuzz(n, seed):
     r = random.Random(seed)
     return ["".join(r.choices("abcdefgh  \n▁éßñ日😀.,'0019", k=r.randint(0, 120))) for _ in range(n)]
@@ -31,8 +37,7 @@ def test_model_against_library(library):
     model = Model(load(MODEL))
     for text in TEXTS + fuzz(300, 1):
         words = model.words(text)
-        known = model.encode_words(list(set(words)))
-        ids = [i for w in words for i in known[w]]
+        ids = ids_of(model, words)
         assert ids == library.encode(text), text
         assert model.decode(ids) == library.decode(ids) == text.replace("▁", " "), text
 
@@ -42,7 +47,7 @@ def test_long_words_merge_alike():
     r = random.Random(2)
     for _ in range(50):
         word = "▁" + "".join(r.choices("thereinganto", k=40))
-        (_, cuts, _), = list(model.merged(__import__("numpy").frombuffer(word.encode("utf-32-le"), dtype="u4").reshape(1, -1)))
+        (_, cuts, _), = list(model.merged(np.frombuffer(word.encode("utf-32-le"), dtype="u4").reshape(1, -1)))
         assert cuts[0].tolist() == model.merge_long(word)
 
 
@@ -78,22 +83,27 @@ def test_viterbi():
     r = random.Random(3)
     for text in [""] + ["".join(r.choices("abcdeé日x ", k=r.randint(0, 30))) for _ in range(300)]:
         words = model.words(text)
-        known = model.encode_words(list(set(words)))
-        ids = [i for w in words for i in known[w]]
-        assert ids == library.encode(text), text
+        assert ids_of(model, words) == library.encode(text), text
         for w in set(words):
             if all(c in model.by_text for c in w):
-                assert sum(float(model.score[i]) for i in known[w]) == pytest.approx(best_score(model, w, {}), abs=1e-4)
+                assert sum(float(model.score[i]) for i in ids_of(model, [w])) == pytest.approx(best_score(model, w, {}), abs=1e-4)
 
 
 def test_byte_fallback_of_a_unigram_model():
     blob = proto([*VOCABULARY, *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))], byte_fallback=True)
     model, library = Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
     for text in ("xx a😀b", "abc dé", "x"):
-        ids = [i for w in model.words(text) for i in model.encode_words([w])[w]]
+        ids = ids_of(model, model.words(text))
         assert ids == library.encode(text) and model.decode(ids) == text
 
 
+def test_generations(library, monkeypatch):
+    monkeypatch.setattr(pieces, "KNOWN", 5)
+    known = Known(Model(load(MODEL)))
+    for text in TEXTS + fuzz(50, 8) + TEXTS:
+        assert np.frombuffer(known.ids([known.model.words(text)])[0], dtype="<i4").tolist() == library.encode(text)
+
+
 def test_rows(spark, library):
     rows = [(i, t, i) for i, t in enumerate([*TEXTS, None, TEXTS[3]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, Tokens int")
