@@ -16,7 +16,7 @@ WINDOW = 5
 #: MAX_COVERED of its words, or if one repeat is longer than MAX_LONGEST words.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.15, 50
 #: Bytes of text that are sorted together; a longer text is sorted alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
 

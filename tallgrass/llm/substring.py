@@ -20,9 +20,11 @@ WINDOW, ANCHOR = 13, 5
 #: broadcast has ROWS * MOST / 8 bytes at most. With more anchors than that it only filters less.
 ROWS, ROOM, LEAST, MOST = 2, 8, 1 << 16, 1 << 29
 SHARDS = 64
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Words whose hashes a worker remembers.
+KNOWN = 1 << 17
 #: Counters that a task gathers before it sends them on.
-HELD = 4 << 20
+HELD = 2 << 20
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -42,7 +44,7 @@ class Windows:
             for w in words:
                 h = known.get(w)
                 if h is None:
-                    if len(known) >= 1 << 19:
+                    if len(known) >= KNOWN:
                         known.clear()
                     h = known[w] = digest(w)
                 ids.append(h)
