@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, arrow_map, as_bytes, checked_small, connected_components, cut, forest, fresh, runs_of, sliced
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Fingerprints that a task holds as residents, and the sides of the tiles that it compares at once.
-RESIDENTS, TILE, STRIP = 1 << 16, 1024, 256
+#: Fingerprints of a cell that are held as residents or pass by as visitors together, and the sides of the tiles that
+#: are compared at once.
+RESIDENTS, VISITORS, TILE, STRIP = 1 << 16, 1 << 17, 1024, 256
 #: Links are thinned to a forest whenever so many have gathered.
 LINKS = 1 << 18
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SPAN = 64
 
 
@@ -129,30 +130,35 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A cell holds the fingerprints with the same population counts in both halves. Each fingerprint is a resident of
     its own cell and visits the cells in half the neighbourhood where the counts differ by the radius at most: a fixed
-    number of copies. Cells with more than RESIDENTS are cut into chunks, by the fingerprints' hash; what visits such
-    a cell visits each chunk. How many a cell has is counted first: at most 33 * 33 counts go to the driver.
+    number of copies. Cells with more than RESIDENTS or VISITORS are cut into chunks of each, by the fingerprints'
+    hash, and each chunk of the one meets each of the other, so that no group grows with the table. How many a cell has
+    is counted first: at most 33 * 33 counts go to the driver.
     """
     low, high = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.bit_count(F.shiftrightunsigned("fp", 32))
     rows = fps.select("fp", low.cast("int").alias("a"), high.cast("int").alias("b"))
     sizes = {(r["a"], r["b"]): r["n"] for r in rows.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-    table = np.zeros((33 + 2 * SPAN, 33 + 2 * SPAN), dtype=np.int64)  # chunks of each cell, with a margin
-    for (a, b), n in sizes.items():
-        table[a + SPAN, b + SPAN] = -(-n // RESIDENTS)
     ball = [(x, y) for x, y in product(range(-radius, radius + 1), repeat=2) if abs(x) + abs(y) <= radius and (x, y) >= (0, 0)]
+    count = np.zeros((33 + 2 * SPAN, 33 + 2 * SPAN), dtype=np.int64)  # with a margin, which stays empty
+    for (a, b), n in sizes.items():
+        count[a + SPAN, b + SPAN] = n
+    residents = -(-count // RESIDENTS)
+    visitors = np.maximum(1, -(-sum(np.roll(count, (x, y), (0, 1)) for x, y in ball) // VISITORS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt_out(a: np.ndarray, b: np.ndarray, r: np.ndarray, v: np.ndarray, side: int, fp: np.ndarray) -> pa.RecordBatch:
+            cell = (a * 64 + b).astype(np.int64) << 40 | r << 20 | v
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(fp), side, dtype=np.int32)), pa.array(fp)], names=["cell", "side", "fp"])
+
         for batch in batches:
             fp, a, b = (batch.column(c).to_numpy() for c in ("fp", "a", "b"))
-            mix = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            mix = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
             for x, y in ball:
-                to = (a + x) * 64 + b + y
-                count = table[a + x + SPAN, b + y + SPAN]
-                who = np.repeat(np.arange(len(fp)), count)
-                chunk = runs_of(count)
-                if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(to[who].astype(np.int64) << 32 | chunk), pa.array(np.ones(len(who), dtype=np.int32)), pa.array(fp[who])], names=["cell", "side", "fp"])
-            own, count = a * 64 + b, table[a + SPAN, b + SPAN]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64) << 32 | mix.astype(np.int64) % count), pa.array(np.zeros(len(fp), dtype=np.int32)), pa.array(fp)], names=["cell", "side", "fp"])
+                at = (a + x + SPAN, b + y + SPAN)
+                who = np.repeat(np.arange(len(fp)), residents[at])
+                yield dealt_out((a + x)[who], (b + y)[who], runs_of(residents[at]), (mix % visitors[at])[who], 1, fp[who])
+            at = (a + SPAN, b + SPAN)
+            who = np.repeat(np.arange(len(fp)), visitors[at])
+            yield dealt_out(a[who], b[who], (mix % residents[at])[who], runs_of(visitors[at]), 0, fp[who])
 
     dealt = arrow_map(rows, deal, "cell long, side int, fp long").repartition("cell").sortWithinPartitions("cell", "side")
     return arrow_map(dealt, lambda batches: links_in(batches, radius), "u long, v long")

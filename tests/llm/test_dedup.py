@@ -112,8 +112,9 @@ def test_near(spark, corpus, monkeypatch):
     rows = corpus + [(None, "a b c d e")]
     fps = [brute_fingerprint(t) for _, t in rows]
     want = components([i for i, _ in rows], lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
-    for residents in (simhash.RESIDENTS, 5):
+    for residents, visitors in ((simhash.RESIDENTS, simhash.VISITORS), (5, 7)):
         monkeypatch.setattr(simhash, "RESIDENTS", residents)
+        monkeypatch.setattr(simhash, "VISITORS", visitors)
         got = near_components(docs_of(spark, rows)).collect()
         assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=repr) == sorted(((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, want, strict=True)), key=repr)
     left = drop_near(docs_of(spark, rows))
@@ -121,7 +122,7 @@ def test_near(spark, corpus, monkeypatch):
     assert near_components(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_tiles_lose_no_link(spark):
+def test_tiles_lose_no_link(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 60, dtype=np.uint64)
     fps = {int(x) for x in base}
@@ -131,11 +132,11 @@ def test_tiles_lose_no_link(spark):
     fps = sorted(fps)
     want = components(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
     df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
-    links = [(a % 2**64, b % 2**64) for a, b in near_links(df).collect()]
-    assert all((a ^ b).bit_count() for a, b in links)
-    linked = set(map(frozenset, links))
-    got = components(fps, lambda i, j: frozenset((fps[i], fps[j])) in linked)
-    assert got == want
+    for most in (simhash.VISITORS, 20):
+        monkeypatch.setattr(simhash, "VISITORS", most)
+        monkeypatch.setattr(simhash, "RESIDENTS", most)
+        linked = {frozenset((a % 2**64, b % 2**64)) for a, b in near_links(df).collect()}
+        assert components(fps, lambda i, j, linked=linked: frozenset((fps[i], fps[j])) in linked) == want
 
 
 def test_dense_group_sends_few_links(spark):
