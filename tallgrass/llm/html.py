@@ -28,9 +28,9 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 PIECE = re.compile(r"[a-z]+", re.IGNORECASE)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-PATH_DIMS, WORD_DIMS, OTHER_DIMS = 192, 48, 8
+PATH_DIMS, WORD_DIMS, OTHER_DIMS = 256, 48, 8
 #: Units in each direction; pages that are labelled together; pages, passes and seed of the training.
-UNITS, TOGETHER, PAGES, PASSES, SEED = 20, 64, 900, 6, 7
+UNITS, TOGETHER, PAGES, PASSES, SEED = 20, 64, 3000, 6, 7
 CHUNK = 8 << 20
 
 
@@ -184,16 +184,18 @@ class Labeller:
         grad[f"x{side}"], grad[f"h{side}"], grad[f"c{side}"] = x.reshape(-1, x.shape[2]).T @ flat, du, flat.sum(0)
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], passes: int, seed: int = SEED) -> None:
-        r, step = random.Random(seed), 0
+        noise = np.random.default_rng(seed)
+        r, step, most = random.Random(seed), 0, passes * -(-len(pages) // 16)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for _ in range(passes):
             order = list(range(len(pages)))
             r.shuffle(order)
-            order = sorted(order[: len(order)], key=lambda i: len(pages[i][1]) + 4 * r.random())
+            order = sorted(order, key=lambda i: len(pages[i][1]) + 4 * r.random())
             batches = [order[i : i + 16] for i in range(0, len(order), 16)]
             r.shuffle(batches)
             for batch in batches:
                 x, mask = padded([pages[i][0] for i in batch])
+                x[:, :, PATH_DIMS : PATH_DIMS + WORD_DIMS] *= noise.random((*mask.shape[:2], 1)) > 0.5  # the words of made pages say little
                 y = np.zeros(mask.shape[:2], dtype=np.float32)
                 for j, i in enumerate(batch):
                     y[: len(pages[i][1]), j] = pages[i][1]
@@ -204,10 +206,11 @@ class Labeller:
                 self.unsweep(x, mask, "f", kept, d_both[:, :, :UNITS], grad)
                 self.unsweep(x[::-1], mask[::-1], "b", kept_back, d_both[::-1, :, UNITS:], grad)
                 step += 1
+                rate = 0.012 * (1 - step / (most + 1)) + 0.0005
                 for k, g in grad.items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.w[k] -= (0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Which blocks of each page are main text. Pages with about as many blocks are labelled together."""
@@ -230,36 +233,40 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: Marks main text in made pages, until it has become the label.
+MAIN = "\ue000"
+
 # Training pages: made by rule, every block with its label. What marks text off is where it stands, not what it says.
 
-FRAMES = [("article", ""), ("article", "post"), ("article", "entry"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "article-body"), ("div", "post-content"), ("div", "entry-content"), ("div", "story"), ("div", "main"), ("section", "article"), ("div", "text"), ("td", "content"), ("div", "page-content"), ("div", "body-text")]
+FRAMES = [
+    ("article", ""), ("article", ""), ("article", "post"), ("article", "entry"), ("article", "article"), ("main", ""), ("main", "content"), ("main", "page"), ("main", "site-main"), ("div", "content"), ("div", "content"), ("div", "article"),
+    ("div", "article-body"), ("div", "article-content"), ("div", "post-content"), ("div", "entry-content"), ("div", "post"), ("div", "blog-post"), ("div", "entry"), ("div", "story"), ("div", "main"), ("div", "main-content"), ("section", "article"),
+    ("section", "content"), ("div", "text"), ("td", "content"), ("td", "main"), ("div", "page-content"), ("div", "body-text"), ("div", "story-body"),
+]
 ASIDES = {
-    "nav": [("nav", ""), ("nav", "menu"), ("div", "nav"), ("div", "menu"), ("ul", "navigation"), ("div", "navbar"), ("div", "breadcrumbs"), ("nav", "breadcrumb"), ("div", "toc"), ("div", "pagination")],
+    "nav": [("nav", ""), ("nav", "menu"), ("div", "nav"), ("div", "menu"), ("ul", "navigation"), ("div", "navbar"), ("div", "breadcrumbs"), ("nav", "breadcrumb"), ("div", "toc"), ("div", "pagination"), ("td", "menu"), ("td", "nav"), ("div", "links")],
     "header": [("header", ""), ("header", "site-header"), ("div", "header"), ("div", "masthead"), ("div", "top-bar"), ("div", "banner")],
     "footer": [("footer", ""), ("footer", "site-footer"), ("div", "footer"), ("div", "copyright"), ("div", "bottom")],
-    "side": [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "side"), ("div", "related"), ("div", "widget"), ("section", "related-posts"), ("div", "popular"), ("div", "recommended"), ("div", "share"), ("div", "social"), ("div", "tags"), ("div", "author-box")],
+    "side": [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "side"), ("div", "related"), ("div", "widget"), ("section", "related-posts"), ("div", "popular"), ("div", "recommended"), ("div", "share"), ("div", "social"), ("div", "tags"), ("div", "author-box"), ("div", "related-articles"), ("div", "social-share"), ("td", "sidebar"), ("div", "right-column"), ("div", "widget-area")],
     "ad": [("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertisement"), ("div", "sponsored"), ("div", "promo"), ("aside", "ad"), ("div", "ad-slot"), ("ins", "adsbygoogle"), ("section", "promotion")],
     "notice": [("div", "cookie-banner"), ("div", "cookie-notice"), ("div", "notice"), ("div", "alert"), ("div", "consent"), ("div", "newsletter"), ("div", "popup"), ("div", "modal"), ("div", "subscribe"), ("section", "gdpr"), ("div", "paywall"), ("div", "disclaimer")],
     "form": [("form", ""), ("form", "search"), ("form", "login"), ("form", "contact-form"), ("form", "signup"), ("div", "search-form")],
-    "comments": [("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist"), ("div", "reader-comments"), ("div", "discussion"), ("section", "responses"), ("div", "replies"), ("div", "disqus")],
+    "comments": [("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist"), ("div", "reader-comments"), ("div", "discussion"), ("section", "responses"), ("div", "replies"), ("div", "disqus"), ("div", "comments-area"), ("ul", "comments"), ("div", "user-comments")],
 }
 
 
-def made_page(r: random.Random) -> tuple[str, set[str]]:
-    """A page and its main blocks' texts; every block of it begins with a number of its own."""
+def made_page(r: random.Random) -> str:
+    """A page in which each main block has MAIN in it."""
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "ción", "que", "ch", "eau", "lich", "ung", "é", "ñ", "ß", "ü"]
-    number, main = [0], set()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
 
     def say(low: int, high: int, is_main: bool = False, end: str | None = None) -> str:
-        number[0] += 1
         n = r.randint(low, max(low, high)) if r.random() < 0.7 else low
-        words = f"{number[0]}x " + " ".join(word() for _ in range(n)) + (r.choice([".", ".", ".", "", "!", "?"]) if end is None else end)
+        words = " ".join(word() for _ in range(n)) + (r.choice([".", ".", ".", "", "!", "?"]) if end is None else end)
         if r.random() < 0.08:
             words = words.replace(" ", " | ")
-        if is_main:
-            main.add(words)
-        return words
+        words = words[:1].upper() + words[1:] if r.random() < 0.8 else words
+        return words + MAIN if is_main else words
 
     def opened(tag: str, name: str) -> str:
         return f'<{tag} {r.choice(["class", "class", "class", "id"])}="{r.choice([name, name, name.replace("-", "_"), f"{word()} {name}", f"{name}-{r.randint(1, 9)}"])}">' if name else f"<{tag}>"
@@ -268,19 +275,25 @@ def made_page(r: random.Random) -> tuple[str, set[str]]:
         out = []
         for _ in range(n):
             kind = r.random()
-            if kind < 0.68 or not is_main and kind < 0.9:
+            if kind < 0.62 or not is_main and kind < 0.9:
                 lead = r.choice(["", "", "", "<b>", "<em>"])
                 out.append(f"<p>{lead}{say(low, high, is_main)}{r.choice(['</p>', '</p>', '</p>', '<br>', ''])}")
-            elif kind < 0.78:
-                out.append(f"<{(h := r.choice(['h2', 'h3', 'h4']))}>{say(1, 8, is_main, '')}</{h}>")
-            elif kind < 0.86:
-                out.append("<ul>" + "".join(f"<li>{say(1, 15, is_main)}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
+            elif kind < 0.73:
+                out.append(f"<{(h := r.choice(['h2', 'h3', 'h4', 'h5']))}>{say(1, 8, is_main, '')}</{h}>")
+            elif kind < 0.81:
+                out.append(f"<{(u := r.choice(['ul', 'ol']))}>" + "".join(f"<li>{say(1, 15, is_main)}</li>" for _ in range(r.randint(1, 4))) + f"</{u}>")
+            elif kind < 0.85:
+                out.append(f"<blockquote><p>{say(3, 30, is_main)}</p></blockquote>" if r.random() < 0.5 else f"<blockquote>{say(1, 30, is_main)}</blockquote>")
+            elif kind < 0.88:
+                out.append(f"<pre>{say(1, 30, is_main)}</pre>")
             elif kind < 0.91:
-                out.append(f"<blockquote><p>{say(3, 30, is_main)}</p></blockquote>")
-            elif kind < 0.95:
-                out.append(f"<pre>{say(3, 30, is_main)}</pre>")
+                out.append(f"<figure><img src=x><figcaption>{say(1, 12, is_main)}</figcaption></figure>")
+            elif kind < 0.94:
+                out.append("<dl>" + "".join(f"<dt>{say(1, 3, is_main, '')}</dt><dd>{say(1, 12, is_main)}</dd>" for _ in range(r.randint(1, 3))) + "</dl>")
+            elif kind < 0.97:
+                out.append(f"</p>{say(1, 25, is_main)}<p></p>")
             else:
-                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{say(1, 6, is_main)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 3))) + "</table>")
+                out.append("<table>" + "".join("<tr>" + "".join(f"<{(c := r.choice(['td', 'td', 'th']))}>{say(1, 6, is_main)}</{c}>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 3))) + "</table>")
         return "\n".join(out) if r.random() < 0.5 else "".join(out)
 
     def links(n: int) -> str:
@@ -301,27 +314,36 @@ def made_page(r: random.Random) -> tuple[str, set[str]]:
             body = ("&copy; " if r.random() < 0.7 else "") + say(2, 25) if r.random() < 0.6 else f"<p>&copy; {say(2, 15)}</p>" + links(2)
         else:
             body = r.choice([say(1, 30), f"<p>{say(1, 40)}</p>", paragraphs(r.randint(1, 3), 1, 40), f"<h3>{say(1, 4, end='')}</h3><p>{say(2, 40)}</p>"])
+        if tag == "td":
+            return f"<table><tr>{opened(tag, name)}{body}</td></tr></table>"
         return f"{opened(tag, name)}{body}</{tag}>"
 
     def inner(inside: str) -> str:
+        if r.random() < 0.06:
+            return inside
         tag, name = r.choice(FRAMES)
+        if tag == "td" and r.random() < 0.5:
+            return f"<table><tr><td class=menu>{links(2)}</td>{opened(tag, name)}{inside}</td><td class=sidebar><p>{say(1, 30)}</p></td></tr></table>"
         if tag == "td":
             return f"<table><tr>{opened(tag, name)}{inside}</td></tr></table>"
         return f"{opened(tag, name)}{inside}</{tag}>"
 
     body = []
-    for kind, chance in (("header", 0.5), ("nav", 0.85), ("notice", 0.35), ("ad", 0.5), ("form", 0.25), ("side", 0.2)):
+    for kind, chance in (("header", 0.45), ("nav", 0.85), ("notice", 0.35), ("ad", 0.5), ("form", 0.25), ("side", 0.2)):
         if r.random() < chance:
             body.append(aside(kind))
     if r.random() < 0.25:
         r.shuffle(body)
-    text = f"<h1>{say(1, 12, True, '')}</h1>" if r.random() < 0.85 else ""
+    text = f"<h1>{say(1, 12, True, '')}</h1>" if r.random() < 0.7 else ""
     for _ in range(r.choice([1, 1, 1, 2, 3])):
-        text += paragraphs(r.choice([1, 1, 2, 3, 5, 8, 12]), r.choice([1, 1, 3, 10]), r.choice([4, 20, 60, 150]), True)
-        if r.random() < 0.3:
-            text += aside(r.choice(["ad", "side", "notice", "form"]))
+        body_text = paragraphs(r.choice([1, 1, 2, 3, 5, 8, 12]), r.choice([1, 1, 3, 10]), r.choice([4, 20, 60, 150]), True)
+        text += f"<section>{body_text}</section>" if r.random() < 0.15 else body_text
+        if r.random() < 0.4:
+            text += aside(r.choice(["ad", "side", "notice", "form"])) + (paragraphs(1, 1, 20, True) if r.random() < 0.5 else "")
     if r.random() < 0.2:
         text += aside("comments")
+    if r.random() < 0.1:
+        text = paragraphs(1, 1, r.choice([1, 5, 40]), True)
     main_html = inner(text)
     for _ in range(r.choice([0, 0, 1, 2])):
         main_html = r.choice(["<div>{}</div>", '<div class="wrapper">{}</div>', '<div id="page">{}</div>', '<section class="container">{}</section>', '<div class="row">{}</div>']).format(main_html)
@@ -330,16 +352,14 @@ def made_page(r: random.Random) -> tuple[str, set[str]]:
         if r.random() < chance:
             body.append(aside(kind))
     close = "</body></html>" if r.random() < 0.85 else ""
-    return f"<!DOCTYPE html><html><head><title>{word()}</title><script>var t='</p>';</script></head><body>{''.join(body)}{close}", main
+    return f"<!DOCTYPE html><html><head><title>{word()}</title><script>var t='</p>';</script></head><body>{''.join(body)}{close}"
 
 
 def made_pages(n: int, seed: int) -> list[tuple[list[tuple[str, str, float]], np.ndarray]]:
     r, out = random.Random(seed), []
     for _ in range(n):
-        page, main = made_page(r)
-        found = blocks(page)
-        main = {" ".join(x.split()) for x in main}
-        out.append((found, np.array([x[1].removeprefix("© ") in main for x in found], dtype=np.float32)))
+        found = blocks(made_page(r))
+        out.append(([(p, t.replace(MAIN, ""), share) for p, t, share in found], np.array([MAIN in t for _, t, _ in found], dtype=np.float32)))
     return out
 
 
