@@ -99,10 +99,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def ids_type(df: DataFrame, id_col: str) -> str:
-    return df.schema[id_col].dataType.simpleString()
-
-
 def runs_of(n: np.ndarray) -> np.ndarray:
     """0..n[0]-1, 0..n[1]-1, and so on, in one array."""
     n = np.asarray(n, dtype=np.int64)

@@ -24,8 +24,8 @@ def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
     A sketch of the sites of each line merges by aggregation, map side first: a line of any number of documents is
     a row for each task. Only near-threshold lines get exact distinct counts, by (line, site) first.
     """
-    line = F.btrim("line", F.lit(BLANK))
-    hashed = rows.select("site", F.explode(lines_of(F.col("text"))).alias("line")).select("site", line.alias("line")).where("line != '' and site is not null").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "site")
+    lines = rows.select("site", F.explode(lines_of(F.col("text"))).alias("line")).select("site", F.btrim("line", F.lit(BLANK)).alias("line")).where("line != '' and site is not null")
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "site")
     spread = hashed.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")).where(F.col("sites") >= min(LOW * min_sites, min_sites - 1))
     spread = cut(spread)
     sure = F.col("sites") > max(HIGH * min_sites, min_sites + 1)
@@ -37,7 +37,7 @@ def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
 
 def marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int) -> tuple[DataFrame, str]:
     """docs with an array of the places (from 0) of each text's boilerplate lines, null if it has none."""
-    known, h1, h2, places, key = fresh(docs, "known", "h1", "h2", "places", "key")
+    known, places, key = fresh(docs, "known", "places", "key")
     rows = docs.select(docs[text_col].alias("text"), docs[site_col].cast("string").alias("site"))
     bad = boilerplate(rows, min_sites).select(F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     lines = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), F.posexplode(lines_of(docs[text_col])).alias("place", "line")).select("id", "key", "place", F.btrim("line", F.lit(BLANK)).alias("line")).where("line != ''")

@@ -20,7 +20,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words are merged one by one; words of each of two generations whose pieces a worker remembers.
 LONG, KNOWN = 64, 1 << 17
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Leading bits of a key that tell where to look.
 LEAD = 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -343,8 +343,8 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
         model = Model(blob)
         for batch in batches:
             column = batch.column(at)
-            bounds, values = column.offsets.to_numpy().tolist(), column.values.to_numpy().tolist()
-            texts = [model.decode(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            bounds, values = column.offsets.to_numpy().tolist(), column.values.to_numpy(zero_copy_only=False)
+            texts = [model.decode(values[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
     return arrow_map(rows, run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))

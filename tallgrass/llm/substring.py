@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ KNOWN = 1 << 17
 #: Counters that a task gathers before it sends them on.
 HELD = 2 << 20
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -261,6 +264,16 @@ def left_words(text: bytes, runs: list | None) -> tuple[int, list[bytes]]:
     return len(words), out + words[at:]
 
 
+def left_text(text: bytes, runs: list) -> bytes:
+    """The text without the runs of words and the white space behind each; all else stays as it is."""
+    at = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    out, begin = [], 0
+    for r in runs:
+        out.append(text[begin : at[r["start"]]])
+        begin = at[r["start"] + r["length"]]
+    return b"".join(out).rstrip() if begin == len(text) else b"".join(out) + text[begin:]
+
+
 def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
 
@@ -283,9 +296,8 @@ def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, window: int = WINDOW) -> DataFrame:
-    """docs with the repeated words cut out of their texts. A text that loses no word stays as it is, a text that does
-    becomes its kept words, joined by one space; chars_col, if given, gets the new number of code points. Texts that
-    lose all words are left out."""
+    """docs with the repeated words cut out of their texts, each with the white space behind it; all else stays as it is.
+    chars_col, if given, gets the new number of code points of such texts. Texts that lose all words are left out."""
     names = docs.columns
     at, chars = names.index(text_col), names.index(chars_col) if chars_col else None
 
@@ -296,9 +308,9 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts, lost, whole = fields[at].to_pylist(), [], []
             for i, (text, runs) in enumerate(zip(as_bytes(fields[at]), batch.column("runs").to_pylist(), strict=True)):
                 if runs:
-                    texts[i] = b" ".join(left_words(text, runs)[1]).decode("utf-8", "replace")
+                    texts[i] = left_text(text, runs).decode("utf-8", "replace")
                     lost.append(i)
-                whole.append(not runs or bool(texts[i]))
+                whole.append(not runs or bool(texts[i].strip()))
             fields[at] = pa.array(texts, fields[at].type)
             if chars is not None and lost:
                 counts = fields[chars].to_pylist()

@@ -197,11 +197,17 @@ def test_substring_of_texts(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(1, long), (2, f"before\n{long}  after"), (3, long), (4, "clean\n text"), (5, None)]
     left = {r["doc_id"]: (r["text"], r["id"]) for r in drop_repeated(docs_of(spark, rows), chars_col="id").collect()}
-    assert left[2] == ("before after", 12) and left[4][0] == "clean\n text" and left[5][0] is None and left[1][0] == long and 3 not in left
+    assert left[2] == ("before\nafter", 12) and left[4][0] == "clean\n text" and left[5][0] is None and left[1][0] == long and 3 not in left
     assert drop_repeated(docs_of(spark, rows)).schema == docs_of(spark, rows).schema
     assert substring_digests(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_left_text():
+    text = b" a b\n\nc  d e\t"
+    cut = lambda *runs: substring.left_text(text, [{"start": i, "length": n} for i, n in runs])
+    assert cut((1, 2)) == b" a d e\t" and cut((0, 1)) == b" b\n\nc  d e\t" and cut((3, 2)) == b" a b\n\nc" and cut((0, 5)) == b"" and cut((0, 1), (2, 1)) == b" b\n\nd e\t"
+
+
 def test_gaps():
     at = np.array([0, 3, 65535, 65536, 65536 + 65535, 65536 + 2 * 65535, 500_000, 500_001])
     assert unpacked(packed(np.diff(at, prepend=0))).tolist() == at.tolist()
