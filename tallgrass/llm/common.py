@@ -134,7 +134,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: every round links the neighbours of each node to the smallest of them, by a
     grouped minimum (combined before the shuffle) and an equi-join that AQE may split where one node has very many
-    links. The rounds grow with the logarithm of the longest chain. Each round ends in a checkpoint; only one number
+    links; for that a second key, which follows from the first, has the grouped side dealt anew. The rounds grow with the logarithm of the longest chain. Each round ends in a checkpoint; only one number
     goes to the driver.
     """
     state = lambda df: df.agg(F.count("*"), F.countDistinct("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -143,8 +143,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while now[0]:
         # large-star: to all neighbours above a node, from the smallest neighbour or the node itself
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = pairs.join(low, pairs["u"] == low["n"]).select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.pmod("u", F.lit(16)).alias("again"), F.least("u", "m").alias("m"))
+        large = pairs.join(low, (pairs["u"] == low["n"]) & (F.pmod("u", F.lit(16)) == low["again"])).select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # small-star: to all neighbours below a node and the node itself, from the smallest of them
         large = cut(large)
         low = large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
