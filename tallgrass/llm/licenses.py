@@ -1,19 +1,22 @@
-"""Operator 9, license scans: TF-IDF cosine of text lines to templates, then inheritance from the nearest directory."""
+"""Operator 9, license scans: TF-IDF cosine of text lines and of windows to templates, then inheritance from the nearest
+directory.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, as_bytes, checked_small, cut, sliced
 
-#: A line, or a whole short text, is taken for the license whose template it is most like, from this cosine on.
+#: A line, a window or a whole short text is taken for the license whose template it is most like, from this cosine on.
 THRESHOLD = 0.7
 CHUNK = 4 << 20
 
@@ -34,7 +37,29 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
 ]
 
+#: (license, name, version) of the licenses whose headers differ in these only.
+GNU = [("GPL-3.0", "General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("AGPL-3.0", "Affero General Public License", "3"), ("LGPL-3.0", "Lesser General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-2.0", "Library General Public License", "2")]
+#: (license, template): file headers of several lines and the texts of licenses or their first paragraphs. Compared to windows only.
+BLOCKS = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. Licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    *((name, f"This {noun} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for name, kind, v in GNU for noun in ("program", "library", "file")),
+    *((name, f"This {noun} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} version {v} as published by the Free Software Foundation.") for name, kind, v in GNU for noun in ("program", "library", "file")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. Contributor Version means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+]
+
 TERM = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+KINDS = {b"lesser", b"library", b"affero"}
 LICENSE_FILE = r"(?i)^(license|licence|copying|notice)([.-].*)?$"
 
 
@@ -42,6 +67,18 @@ def terms(text: bytes) -> list[bytes]:
     return TERM.findall(text.lower())
 
 
+def named(words: list[bytes]) -> list[bytes]:
+    """The terms with "general" told apart by the word before it, so that a GNU license's name is not confused with what
+    its header calls the work ("This library ...")."""
+    if b"general" not in words:
+        return words
+    return [b"%s-general" % before if word == b"general" and before in KINDS else word for before, word in zip([b"", *words], words, strict=False)]
+
+
+#: What a term counts that a window has so many times; no window is longer than the longest template.
+LOGS = [0.0, *(1 + math.log(c) for c in range(1, 1 << 12))]
+
+
 class Scorer:
     """Cosine of a line to the templates, with weights (1 + log tf) * idf. Terms that no template has weigh as much as
     one that no document has.
@@ -83,26 +120,120 @@ class Scorer:
         score = dots[i] / math.sqrt(sum(x * x for x in w.values()))
         return (score, self.names[i]) if score >= self.threshold else (0.0, None)
 
-    def scan(self, text: bytes) -> tuple[float, str | None]:
-        """The best of all lines, and of the whole text if it is no longer than twice the longest template."""
+    def scan(self, text: bytes) -> tuple[float, str | None, list[tuple[int, int]]]:
+        """The best of all lines, and of the whole text if it is no longer than twice the longest template; and between
+        which terms the lines that reach the threshold lie."""
         low = text.lower()
-        found, seen = (0.0, None), set()
+        found, seen, taken = (0.0, None), set(), []
         for m in self.leading.finditer(low):
             begin, end = low.rfind(b"\n", 0, m.start()) + 1, low.find(b"\n", m.end())
             line = low[begin : end if end >= 0 else None]
             if begin not in seen:
                 seen.add(begin)
-                found = max(found, self.best(TERM.findall(line)), key=lambda x: x[0])
+                words = TERM.findall(line)
+                score = self.best(words)
+                found = max(found, score, key=lambda x: x[0])
+                if score[1]:
+                    first = len(TERM.findall(low, 0, begin))
+                    taken.append((first, first + len(words)))
         if seen and len(words := TERM.findall(low)) <= 2 * self.longest:
             found = max(found, self.best(words), key=lambda x: x[0])
-        return found
+        return *found, taken
+
+
+class Windows:
+    """Cosine of every run of as many terms as a template has to that template, weighed as by Scorer. split gives a
+    text's terms: terms, or those as named.
+
+    A window's score is at most the root of what share of the template's squared weights the terms found in it have.
+    So a text is skipped for a template if its terms have less than the threshold's square, and of the others only windows
+    that have one of the template's leading terms are scored: nothing is lost.
+    """
+
+    def __init__(self, templates: list[tuple[str, str]], df: dict[bytes, int], n: int, threshold: float, split: Callable[[bytes], list[bytes]] = terms):
+        words = [split(text.encode()) for _, text in templates]
+        scorer = Scorer([(name, b" ".join(x).decode()) for (name, _), x in zip(templates, words, strict=True)], df, n, threshold)
+        self.idf, self.other, self.threshold, self.names = scorer.idf, scorer.other, threshold, scorer.names
+        self.sizes = [len(x) for x in words]
+        self.places = {t: i for i, t in enumerate(scorer.by_term)}
+        self.weight = np.zeros((len(templates), len(self.places)))
+        for t, found in scorer.by_term.items():
+            for i, y in found:
+                self.weight[i, self.places[t]] = y
+        self.leading = []
+        for w in self.weight:
+            order = np.argsort(-w, kind="stable")
+            rest = 1 - np.cumsum(w[order] ** 2) + w[order] ** 2
+            self.leading.append(np.isin(np.arange(len(w)), order[(rest >= threshold**2 * 0.999) & (w[order] > 0)]))
+
+    def best(self, words: list[bytes], taken: list[tuple[int, int]] = ()) -> tuple[float, str | None]:
+        """The best window; of equal scores that of the earlier template. (0, None) below the threshold.
+
+        Windows within one of the runs of terms in taken don't count: such a line has been judged as one.
+        """
+        here = self.places.keys() & set(words)
+        if not here:
+            return 0.0, None
+        present = np.zeros(len(self.places), dtype=bool)
+        present[[self.places[t] for t in here]] = True
+        able = np.flatnonzero((self.weight[:, present] ** 2).sum(1) >= self.threshold**2 * 0.999)
+        if not len(able):
+            return 0.0, None
+        number = {t: i for i, t in enumerate(dict.fromkeys(words))}
+        ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+        idf = np.array([self.idf.get(t, self.other) for t in number])
+        place = np.array([self.places.get(t, -1) for t in number])
+        top, name = 0.0, None
+        for k in able:
+            y = np.where(place >= 0, self.weight[k, place], 0.0)
+            score = self.slide(ids, idf, y, np.where(place >= 0, self.leading[k][place], False), self.sizes[k], taken)
+            if score > top:
+                top, name = score, self.names[k]
+        return (top, name) if top >= self.threshold else (0.0, None)
+
+    def slide(self, ids: np.ndarray, idf: np.ndarray, y: np.ndarray, leading: np.ndarray, size: int, taken: list[tuple[int, int]]) -> float:
+        """The best cosine of a window of so many terms, or of the whole text if it has fewer."""
+        size = min(size, len(ids))
+        first = np.concatenate([[0], np.cumsum(leading[ids])])
+        counts = first[size:] > first[: len(first) - size]
+        for begin, end in taken:
+            counts[begin : max(begin, end - size + 1)] = False
+        starts = np.flatnonzero(counts)
+        count: dict[int, int] = {}
+        top, dot, square, at = 0.0, 0.0, 0.0, -1
+        ids, idf, y = ids.tolist(), idf.tolist(), y.tolist()
+
+        def step(t: int, by: int) -> None:
+            nonlocal dot, square
+            c = count.get(t, 0)
+            before, after = LOGS[c] * idf[t], LOGS[c + by] * idf[t]
+            count[t] = c + by
+            dot += (after - before) * y[t]
+            square += after * after - before * before
+
+        for begin in starts.tolist():
+            if at < 0 or begin >= at + size:
+                count.clear()
+                dot = square = 0.0
+                for t in ids[begin : begin + size]:
+                    step(t, 1)
+            else:
+                for i in range(at, begin):
+                    step(ids[i], -1)
+                    step(ids[i + size], 1)
+            at = begin
+            if dot > top * math.sqrt(square):
+                top = dot / math.sqrt(square)
+        return top
 
 
-def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, blocks: list[tuple[str, str]] = BLOCKS) -> DataFrame:
     """One row per row of files: id, path, own_license, own_score, license, license_from.
 
     own_license is that of the best line of the whole text (null below the threshold, and for null or empty texts; of
-    equal scores the earlier line, then the earlier template). license is the file's own, else that of the license
+    equal scores the earlier line, then the earlier template), or of the best window if that scores higher: windows as long
+    as each of templates and blocks are taken from the whole text, however long, but not from within lines that have a
+    license as they are. license is the file's own, else that of the license
     files (LICENSE, COPYING, NOTICE, by name) of the nearest directory that has any with a license: of several in one
     directory the one with the highest score, then the smallest id. license_from is the id it is from. Files with null path have the
     empty directory. Repeated rows get a row each; other columns aren't read; an empty table gives no rows.
@@ -110,14 +241,16 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     Document frequencies of the templates' terms are counted over all texts; only those go to the driver. Directories,
     not files, are joined to their ancestors, and the nearest is put to the files by an equi-join on the directory.
     """
-    vocabulary = frozenset(t for _, text in templates for t in terms(text.encode()))
+    own_terms = frozenset(t for _, text in templates for t in terms(text.encode()))
+    vocabulary = own_terms.union(t for _, text in blocks for t in named(terms(text.encode())))
     rows = files.select(files[id_col].alias("id"), F.coalesce(files[path_col], F.lit("")).alias("path"), files[text_col].alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = Counter(), 0
         for batch in batches:
             for text in as_bytes(batch.column("text")):
-                df.update(vocabulary.intersection(terms(text)))
+                words = terms(text)
+                df.update(vocabulary.intersection([*words, *named(words)] if b"general" in words else words))
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([*df, b""], pa.binary()), pa.array([*df.values(), n], pa.int64())], names=["term", "n"])
 
@@ -125,9 +258,16 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
     n = df.pop(b"", 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(templates, {t: df.get(t, 0) for t in vocabulary}, n, threshold)
+        scorer = Scorer(templates, {t: df.get(t, 0) for t in own_terms}, n, threshold)
+        short = Windows(templates, {t: df.get(t, 0) for t in own_terms}, n, threshold)
+        long = Windows(blocks, {t: df.get(t, 0) for t in vocabulary}, n, threshold, lambda x: named(terms(x)))
         for batch in sliced(batches, "text", CHUNK):
-            out = [scorer.scan(x) for x in as_bytes(batch.column("text"))]
+            out = []
+            for x in as_bytes(batch.column("text")):
+                *line, taken = scorer.scan(x)
+                words = terms(x)
+                window = max(short.best(words, taken), long.best(named(words), taken), key=lambda x: x[0])
+                out.append(window if window[0] > line[0] + 1e-9 else line)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([x[1] for x in out], pa.string()), pa.array([round(x[0], 9) for x in out], pa.float64())], names=["id", "path", "own_license", "own_score"])
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter
 
-from tallgrass.llm.licenses import LICENSE_FILE, TEMPLATES, THRESHOLD, Scorer, scan_licenses, terms
+from tallgrass.llm.licenses import BLOCKS, LICENSE_FILE, TEMPLATES, THRESHOLD, Scorer, Windows, named, scan_licenses, terms
 from tallgrass.llm.urls import PATTERN_RULES, SITE_RULES, Index, judge_urls, parts, rule
 
 URLS = [
@@ -117,3 +117,88 @@ def test_leading_terms_lose_nothing():
         score, name = scorer.best(terms(line))
         if name:
             assert scorer.leading.search(line)
+
+
+GPL = """/* Frobnicate, a tool.
+ * Copyright (C) 2021 A. Author
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+"""
+GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  The licenses for most software and other practical works are designed
+to take away your freedom to share and change the works.
+"""
+
+
+def test_license_blocks_of_several_lines(spark):
+    """Headers and license texts over line breaks are found, however long the text is; a notice inside a line too."""
+    r = random.Random(5)
+    filler = "\n".join(" ".join("".join(r.choices("hijklmn", k=5)) for _ in range(9)) for _ in range(80))
+    lgpl = GPL.replace("GNU General", "GNU Lesser General")
+    texts = {
+        "GPL-3.0": [GPL + filler, GPL.replace("This program is", "This library is") + filler, filler + "\n" + GPL + filler, GPL_TEXT + filler],
+        "GPL-2.0": [GPL.replace("version 3", "version 2") + filler],
+        "LGPL-3.0": [lgpl.replace("This program is", y) + filler for y in ("This program is", "This library is", "Frobnicate is")],
+        "LGPL-2.0": [GPL.replace("GNU General", "GNU Library General").replace("version 3", "version 2") + filler],
+        "LGPL-2.1": [lgpl.replace("version 3", "version 2.1") + filler],
+        "AGPL-3.0": [GPL.replace("GNU General", "GNU Affero General") + filler],
+        "Apache-2.0": [APACHE + filler],
+        "MIT": [f"{filler}\nReleased under\nthe MIT License.\n{filler}", f"{filler} Released under the MIT License. {filler}"],
+        None: [filler, filler + "\nthis program is free and version 3 of it is the general one\n" + filler],
+    }
+    rows = [(name, text) for name, found in texts.items() for text in found]
+    table = spark.createDataFrame([(i, "a.c", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {x["doc_id"]: x["own_license"] for x in scan_licenses(table, "doc_id", "path", "text").collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
+def test_windows_against_brute_force():
+    r = random.Random(6)
+    both = [*TEMPLATES, *BLOCKS]
+    split = [named(terms(x.encode())) for _, x in both]
+    df, n, found = {t: r.randint(0, 90) for ws in split for t in ws}, 100, 0
+    windows = Windows(both, df, n, THRESHOLD, lambda x: named(terms(x)))
+    for _ in range(60):
+        words = [r.choice([b"x", b"the", b"of", b"license"]) for _ in range(r.randint(0, 40))]
+        part = list(r.choice(split))
+        for _ in range(r.randint(0, len(part) // 3)):
+            part[r.randrange(len(part))] = r.choice([b"y", b"z", b"software"])
+        words[r.randint(0, len(words)) :] = part + words[:20]
+        runs = [(brute_cosine(words[i : i + len(t)], b" ".join(t).decode(), df, n), name) for t, (name, _) in zip(split, both, strict=True) for i in range(max(1, len(words) - len(t) + 1))]
+        top = max(runs, key=lambda x: x[0])
+        score, name = windows.best(words)
+        if top[0] >= THRESHOLD:
+            assert abs(score - top[0]) < 1e-9 and name in {x for s, x in runs if s > top[0] - 1e-9}
+            found += 1
+        else:
+            assert (score, name) == (0.0, None)
+    assert 10 < found
