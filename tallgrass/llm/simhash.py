@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, arrow_map, as_bytes, checked_small, connected_components, cut, forest, fresh, runs_of, sliced
@@ -47,15 +47,20 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp long) of every row, read off whole texts; no words give zero."""
+    """(id, tag, fp long) of every row, read off whole texts; no words give zero. The tag is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK):
             fps = fingerprints_of(as_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(fps.view(np.int64))], names=["id", "tag", "fp"])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(docs[id_col].alias("id"), tag_of(docs[text_col]).alias("tag"), docs[text_col].alias("text"))
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, fp long")
+
+
+def tag_of(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -171,6 +176,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and are linked like others. Repeated rows and ids get a row each; a null id takes part but is
     never the smallest, unless its component has no other. Other columns aren't read; no rows give no rows.
     """
+    return tagged_components(docs, id_col, text_col, radius).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tagged_components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(id, tag, fp, component_id) of each row of docs."""
     slim = cut(fingerprints(docs, id_col, text_col))
     nodes = slim.groupBy("fp").agg(F.min("id").alias("least"))
     linked = connected_components(near_links(nodes.select("fp"), radius))
@@ -179,15 +189,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a second key, so that the grouped side is dealt anew and AQE may split the partition of a very common fingerprint
     second = F.pmod(slim["fp"], F.lit(16))
     each = nodes.join(named, nodes["fp"] == named["node"], "left").select(nodes["fp"].alias("of"), F.pmod(nodes["fp"], F.lit(16)).alias("of_second"), F.coalesce("whole", "least").alias("component_id"))
-    return slim.join(each, (slim["fp"] == each["of"]) & (second == each["of_second"])).select(slim["id"].alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return slim.join(each, (slim["fp"] == each["of"]) & (second == each["of_second"])).select("id", "tag", "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the document with the smallest id.
 
-    Rows that repeat that id all stay; the exact dedup before leaves none. Rows with a null id stay.
+    Rows of the component that repeat that id all stay; the exact dedup before leaves none. Rows with a null id stay.
+    Rows that share an id with different texts are told apart: each goes or stays by its own text.
     """
-    found = near_components(docs, id_col, text_col, radius)
-    (gone,) = fresh(docs, "gone")
-    losers = checked_small(cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()))
-    return docs.join(losers, docs[id_col] == losers[gone], "left_anti")
+    found = tagged_components(docs, id_col, text_col, radius)
+    gone, gone_tag = fresh(docs, "gone", "gone_tag")
+    losers = checked_small(cut(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(gone), F.col("tag").alias(gone_tag)).distinct()))
+    return docs.join(losers, (docs[id_col] == losers[gone]) & (tag_of(docs[text_col]) == losers[gone_tag]), "left_anti")

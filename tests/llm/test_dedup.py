@@ -122,6 +122,15 @@ def test_near(spark, corpus, monkeypatch):
     assert near_components(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_near_tells_rows_of_one_id_apart(spark):
+    """A row goes by its own text, not because another row with its id is a near copy."""
+    r = random.Random(8)
+    copy, other = (" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(2))
+    rows = [(1, copy), (2, copy.upper()), (2, other), (2, other.upper()), (3, other), (4, None), (4, copy)]
+    left = drop_near(docs_of(spark, rows)).collect()
+    assert sorted((x["doc_id"], x["text"] or "") for x in left) == sorted([(1, copy), (2, other), (2, other.upper()), (4, "")])
+
+
 def test_tiles_lose_no_link(spark, monkeypatch):
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 60, dtype=np.uint64)
