@@ -19,6 +19,8 @@ from .common import arrow_map, sliced
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is no text, and those that have none.
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "template", "svg", "iframe", "noembed", "noframes", "select", "object")}
+#: Of these, elements that hold markup: without an end tag of its own, only the tag itself is skipped.
+PAIRS = {t: re.compile(rf"<(/?){t}(?![A-Za-z0-9:-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.IGNORECASE) for t in ("template", "svg", "select", "object")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that these end.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -34,6 +36,18 @@ UNITS, TOGETHER, PAGES, PASSES, SEED = 20, 64, 3000, 6, 7
 CHUNK = 8 << 20
 
 
+def paired(page: str, tag: str) -> dict[int, int]:
+    """Where an element's start tag ends: where its end tag does. A self-closing svg has none."""
+    out, begun = {}, []
+    for m in PAIRS[tag].finditer(page):
+        if m[1]:
+            if begun:
+                out[begun.pop()] = m.end()
+        elif tag != "svg" or not m[2].endswith("/"):
+            begun.append(m.end())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, str, float]]:
     """(path, text, share of its characters in links) of each leaf of a page that has text, in page order.
 
@@ -43,6 +57,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
     out: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
+    pairs: dict[str, dict[int, int]] = {}
     linked = depth = at = 0
 
     def flush() -> None:
@@ -83,6 +98,11 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
                     break
             continue
         if tag in RAW:
+            if tag in PAIRS:
+                if tag not in pairs:
+                    pairs[tag] = paired(page, tag)
+                at = pairs[tag].get(at, at)
+                continue
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue

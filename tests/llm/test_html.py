@@ -18,6 +18,15 @@ def test_blocks():
     assert len(blocks("<div>" * 3000 + "x")) == 1 and len(blocks("<p>x</p>" * 5000)) == 5000
 
 
+def test_unclosed_elements_keep_what_follows():
+    """A self-closing svg, or an svg, select, object or template without an end tag, doesn't take the rest of the page."""
+    for tag in ("<svg/>", '<svg class="x" />', "<svg><path/>", "<select>", "<object>", "<template>"):
+        assert [t for _, t, _ in blocks(f"<p>one</p>{tag}<p>two</p>")] == ["one", "two"], tag
+    assert [t for _, t, _ in blocks("<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>")] == ["one", "two", "three"]
+    assert [t for _, t, _ in blocks("<p>one</p><select><option>no</select><p>two</p><script>no <p>x")] == ["one", "two"]
+    assert [t for _, t, _ in blocks("<p>one</p><svg><p>two</p><svg><svg>no</svg>no</svg><p>three</p>")] == ["one", "two", "three"]
+
+
 def test_gradient():
     model = Labeller(1)
     pages = [(features(x)[:5], y[:5]) for x, y in made_pages(3, 2)]
