@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, on UTF-8 bytes.
@@ -16,11 +19,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bounds on what one Arrow batch brings into a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
-
-#: Most rows of slim tables (ids, hashes) that a join broadcasts.
-BROADCAST_ROWS = 500_000
+#: Most rows of slim tables (ids, hashes), and most bytes of what their rows hold besides, that a join broadcasts.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in rows and bytes, so that long texts don't pile up in a worker."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """mapInArrow with batches bounded in rows and bytes, so that long texts don't pile up in a worker.
+
+    Spark reads the bounds from the session when the plan runs: wider ones are narrowed, a caller's own narrower ones stay.
+    """
+    conf, size = df.sparkSession.conf, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < size(conf.get(f"spark.sql.execution.arrow.{name}")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(fn, schema)
 
 
@@ -47,8 +53,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = np.array([len(x or "") for x in batch.column(column).to_pylist()], dtype=np.int64)
-        ends = np.cumsum(size)
+        size = pc.binary_length(batch.column(column))
+        ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -58,10 +64,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where it names none."""
+    """The shared folder that the session names. A local master without one gets a temporary folder; a cluster, whose
+    executors would each write to a folder of their own, gets an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -72,19 +81,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def checked_small(df: DataFrame) -> DataFrame:
-    """df with a hint to broadcast it if it has few enough rows, which are counted; any join is right either way."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def checked_small(df: DataFrame, held: Column | None = None) -> DataFrame:
+    """df with a hint to broadcast it if it has few enough rows, which are counted; any join is right either way.
+
+    held: the bytes that a row holds beyond a few fixed columns; their sum is bounded as well."""
+    rows, total = df.agg(F.count("*"), F.sum(held if held is not None else F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a compressed table in the shared folder, deleted when the application ends. For whole texts."""
+    """The same rows as a compressed table in the shared folder. For whole texts, and for rows that are read twice.
+
+    It goes by forget(), or when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    files, at = folder(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    STORED[id(out)] = path
+    weakref.finalize(out, STORED.pop, id(out), None)
+    return out
+
+
+#: Paths of stored tables, by the identity of their frames.
+STORED: dict[int, str] = {}
+
+
+def folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, as the JVM has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more; of other frames nothing."""
+    if path := STORED.pop(id(df), None):
+        files, at = folder(df.sparkSession, path)
+        files.delete(at, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

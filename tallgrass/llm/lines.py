@@ -43,7 +43,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites
     lines = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), F.posexplode(lines_of(docs[text_col])).alias("place", "line")).select("id", "key", "place", F.btrim("line", F.lit(BLANK)).alias("line")).where("line != ''")
     hits = lines.select("id", "key", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).join(checked_small(bad), (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi")
     per_doc = hits.groupBy("id", "key").agg(F.collect_set("place").alias("found")).select(F.col("id").alias(known), F.col("key").alias(key), F.col("found").alias(places))
-    joined = docs.join(checked_small(cut(per_doc)), docs[id_col].eqNullSafe(F.col(known)) & (F.xxhash64(docs[text_col]) == F.col(key)), "left")
+    joined = docs.join(checked_small(cut(per_doc), held=4 * F.size(places)), docs[id_col].eqNullSafe(F.col(known)) & (F.xxhash64(docs[text_col]) == F.col(key)), "left")
     return joined, places
 
 
@@ -70,6 +70,9 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with the boilerplate lines cut out of their texts; all rows and columns stay."""
+    """docs with the boilerplate lines cut out of their texts; all rows and columns stay, whatever the columns are called.
+
+    A null text stays null and an empty one empty; a text of boilerplate only becomes empty. Very long texts are cut whole, repeated
+    rows alike. A null site counts for none. An empty table gives no rows."""
     joined, places = marked(docs, id_col, text_col, site_col, min_sites)
     return joined.select(*(F.when(F.col(places).isNull(), docs[c]).otherwise(kept_lines(docs[c], F.col(places))).alias(c) if c == text_col else docs[c] for c in docs.columns))

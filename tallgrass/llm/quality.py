@@ -16,7 +16,7 @@ WINDOW = 5
 #: MAX_COVERED of its words, or if one repeat is longer than MAX_LONGEST words.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.15, 50
 #: Bytes of text that are sorted together; a longer text is sorted alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
 
@@ -120,7 +120,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns, whatever they are called.
+
+    Each row is judged by itself, as in quality_rules: a null or empty text goes, as does a very long one that repeats itself;
+    repeated rows stay or go together. An empty table gives no rows."""
     at = docs.columns.index(text_col)
     schema = docs.schema
 
