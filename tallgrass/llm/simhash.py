@@ -184,8 +184,11 @@ def tagged_components(docs: DataFrame, id_col: str, text_col: str, radius: int)
     slim = cut(fingerprints(docs, id_col, text_col))
     nodes = slim.groupBy("fp").agg(F.min("id").alias("least"))
     linked = connected_components(near_links(nodes.select("fp"), radius))
+    # The smallest id of each component. A component may hold a third of all fingerprints, so that linked is not dealt by component:
+    # one row for each component is broadcast if they are few; else a second key deals both sides anew, and AQE may split the large ones.
     whole = nodes.join(linked, nodes["fp"] == linked["node"]).groupBy("component").agg(F.min("least").alias("whole"))
-    named = linked.join(whole, "component").select("node", "whole")
+    whole = checked_small(cut(whole.select(F.col("component").alias("part"), F.pmod("component", F.lit(16)).alias("part_second"), "whole")))
+    named = linked.join(whole, (F.col("component") == F.col("part")) & (F.pmod("component", F.lit(16)) == F.col("part_second"))).select("node", "whole")
     # a second key, so that the grouped side is dealt anew and AQE may split the partition of a very common fingerprint
     second = F.pmod(slim["fp"], F.lit(16))
     each = nodes.join(named, nodes["fp"] == named["node"], "left").select(nodes["fp"].alias("of"), F.pmod(nodes["fp"], F.lit(16)).alias("of_second"), F.coalesce("whole", "least").alias("component_id"))
