@@ -2,114 +2,190 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, LOWER_AZ, UPPER_AZ, arrow_map, as_bytes, cut, stored
 
-#: Characters of a normalised text that lead its sort key; the rest of the order is the text's SHA-256.
-PREFIX = 32
+#: Leading bytes of a normalised text that a splitter holds; longer texts that agree in all of them are told apart by their
+#: SHA-256. Ranges for each shuffle partition; texts sampled for each range, and in all.
+KEY, RANGES, EACH, SAMPLE = 4096, 3, 20, 20_000
+#: Rows of a run that are held at once; a longer run goes on as a new piece, put together like runs that cross partitions.
+HELD = 1 << 16
 
+Fold = Callable[[bytes], bytes]
 
-def content_sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: Column) -> DataFrame:
-    """(id, row, sha) in order of the normalised content, equal contents side by side with the row that stays in front.
 
-    Spark samples the splitters of the range partitions from (prefix, SHA-256, id), so that the sample stays small
-    where texts are long, and a group of copies of any size is dealt over as many partitions as it needs, because the
-    id takes part. The sort within a partition spills to disk.
-    """
-    text = F.translate(F.coalesce(docs[text_col], F.lit("")), UPPER_AZ, LOWER_AZ)
-    rows = docs.select(docs[id_col].alias("id"), carry.alias("row"), F.substring(text, 1, PREFIX).alias("prefix"), F.unhex(F.sha2(text, 256)).alias("sha"))
-    key = ["prefix", "sha", F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()]
-    return rows.repartitionByRange(*key).sortWithinPartitions(*key).select("id", "row", "sha")
+def fold_case(text: bytes) -> bytes:
+    """A-Z to a-z and nothing else."""
+    return text.translate(LOWER)
+
+
+def sort_key(text: bytes) -> tuple[bytes, bytes]:
+    """The order of contents: normalised bytes, from KEY on the hash."""
+    return text[:KEY], hashlib.sha256(text).digest() if len(text) > KEY else b""
+
+
+def splitters(rows: DataFrame, field: str, fold: Fold) -> list[tuple[bytes, bytes]]:
+    """Quantiles of the contents of a sample; a content that is very frequent comes several times.
+
+    At most SAMPLE keys of KEY bytes go to the driver. Which rows are sampled only moves the borders of the ranges."""
+    ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(SAMPLE, EACH * ranges)
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sort_key(fold(x)) for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["key", "sha"])
 
-def neighbours(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[tuple[pa.RecordBatch, list[bool]]]:
-    """Each batch of a sorted partition, and which rows begin a run of equal contents.
+    n = rows.count()
+    sample = rows.select(F.col("row").getField(field).alias("text"))
+    if n > wanted:
+        sample = sample.where(F.rand(11) < wanted / n)
+    found = sorted((bytes(r["key"]), bytes(r["sha"])) for r in arrow_map(sample, keys, "key binary, sha binary").limit(2 * wanted).collect())
+    ranges = max(1, min(ranges, len(found) // 5))
+    return [found[len(found) * i // ranges] for i in range(1, ranges)]
 
-    Neighbours with the same hash are compared in full.
+
+def content_sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: Column, fold: Fold) -> DataFrame:
+    """(part, id, row): range partitions of the normalised bytes, each in order of them, the row that stays in front of its equals.
+
+    A content that fills several ranges is dealt over them by a hash of its rows' ids, so that a group of copies of
+    any size is spread. The sort is Spark's external one, which spills to disk.
     """
-    sha_was, text_was = None, b""
-    for batch in batches:
-        shas, begins = batch.column("sha").to_pylist(), []
-        texts = as_bytes(batch.column("row").field(field))
-        for sha, text in zip(shas, texts, strict=True):
-            text = text.translate(LOWER)
-            begins.append(sha != sha_was or text != text_was)
-            sha_was, text_was = sha, text
-        yield batch, begins
+    rows = docs.select(docs[id_col].alias("id"), carry.alias("row"))
+    borders = docs.sparkSession.sparkContext.broadcast(splitters(rows, text_col, fold))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = borders.value
+        for batch in batches:
+            texts, parts, norms = as_bytes(batch.column("row").field(text_col)), [], []
+            for k, text in enumerate(texts):
+                norm = fold(text)
+                norms.append(norm if norm != text else None)
+                key = sort_key(norm)
+                low = bisect_left(known, key)
+                same = bisect_right(known, key, low) - low
+                parts.append(low + zlib.crc32(repr(batch.column("id")[k].as_py()).encode()) % same if same > 1 else low)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column("id"), pa.array(norms, pa.binary()), batch.column("row")], names=["part", "id", "norm", "row"])
+
+    # norm is null where the text is its own normal form, so that texts are shuffled twice only where they have capitals
+    kind = f"part int, id {rows.schema['id'].dataType.simpleString()}, norm binary, row {rows.schema['row'].dataType.simpleString()}"
+    dealt = arrow_map(rows, deal, kind).repartition("part")
+    whole = dealt.withColumn("norm", F.coalesce("norm", F.coalesce(F.col("row").getField(text_col), F.lit("")).cast("binary")))
+    return whole.sortWithinPartitions("part", "norm", F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last())
+
 
+def best_of(keep: str, key: str) -> Column:
+    """The id that stays and the run that has it; null ids stay only where there is no other."""
+    if keep == "largest":
+        return F.max(F.struct(F.col(key).alias("id"), (-F.col("part")).alias("part"), (-F.col("run")).alias("run")))
+    return F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("part").alias("part"), F.col("run").alias("run")))
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """One row per row of docs: id, keep_id (id of the row that stays), group_size, kept, text_sha256.
+
+def crossing(runs: DataFrame, keep: str, size: Column) -> DataFrame:
+    """Of runs (id, part, run, text) that may go on elsewhere: (at_part, at_run, all_id, all_size, wins) of those that do.
+
+    Runs are put together by their whole texts."""
+    whole = runs.groupBy(F.col("text").alias("whole")).agg(best_of(keep, "id").alias("best"), F.sum(size).alias("all_size"), F.count("*").alias("runs")).where("runs > 1")
+    wins = (F.abs("best.part") == F.col("part")) & (F.abs("best.run") == F.col("run"))
+    return runs.join(whole, F.col("text") == F.col("whole")).select(F.col("part").alias("at_part"), F.col("run").alias("at_run"), F.col("best.id").alias("all_id"), "all_size", wins.alias("wins"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", also: tuple[str, ...] = (), fold: Fold = fold_case) -> DataFrame:
+    """One row per row of docs: id, keep_id (id of the row that stays), group_size, kept, text_sha256, and the columns in also.
 
     Texts are equal if they are identical after A-Z are lower-cased; null counts as empty. Of rows with equal texts
-    and equal ids just one is kept; a null id stays only where a group has no other. An empty table gives no rows;
-    other columns aren't read. Long texts are compared whole.
+    and equal ids just one is kept; a null id stays only where a group has no other. Ids may be of any type that sorts.
+    An empty table gives no rows; other columns aren't read, whatever they are called. Long texts are compared whole.
 
-    A run of equal texts that goes on in the next partition is put together from the first and last run of each
-    partition: two rows for each partition at most, which is what the broadcast holds.
+    Neighbours in the order of contents are compared in full. A run of equal texts that goes on in another range is put together from the
+    first and last run of each range, whose whole texts are compared too: two texts for each range.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, run = TaskContext.get().partitionId(), 0
+        part_was, text_was, run, first = None, None, 0, True
         held: list = []
 
         def flush(last: bool) -> pa.RecordBatch:
-            n = len(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in held], pa.int64()), pa.array([held[0][0]] * n, pa.int64()), pa.array([n] * n, pa.int64()), pa.array([True] + [False] * (n - 1)), pa.array([held[0][1]] * n, pa.binary()), pa.array([part] * n, pa.int32()), pa.array([run == 1 or last] * n)],
-                names=["id", "keep_id", "group_size", "kept", "sha", "part", "edge"],
-            )
+            n, edge = len(held), first or last
+            columns = [
+                pa.array([x[0] for x in held], kind), pa.array([held[0][0]] * n, kind), pa.array([n] * n, pa.int64()), pa.array([True] + [False] * (n - 1)), pa.array([hashlib.sha256(text_was).digest()] * n, pa.binary()),
+                pa.array([part_was] * n, pa.int32()), pa.array([run] * n, pa.int32()), pa.array([text_was if edge else None] + [None] * (n - 1), pa.binary()), pa.array([x[1] for x in held], carried),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "keep_id", "group_size", "kept", "sha", "part", "run", "text", "also"])
 
         ready: list = []
-        for batch, begins in neighbours(batches, text_col):
-            for row, begin in zip(zip(batch.column("id").to_pylist(), batch.column("sha").to_pylist(), strict=True), begins, strict=True):
-                if begin:
-                    if held:
-                        ready.append(flush(False))
-                        if len(ready) >= 1024:
-                            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                            ready = []
-                    held, run = [], run + 1
-                held.append(row)
+        kind = carried = None
+        for batch in batches:
+            kind, carried = batch.schema.field("id").type, batch.column("row").field("also").type
+            for part, row, text, more in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), as_bytes(batch.column("norm")), batch.column("row").field("also").to_pylist(), strict=True):
+                same = part == part_was and text == text_was
+                if held and (not same or len(held) >= HELD):
+                    ready.append(flush(same or part != part_was))
+                    if len(ready) >= 1024:
+                        yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                        ready = []
+                    held, run, first = [], run + 1, same or part != part_was
+                part_was, text_was = part, text
+                held.append((row, more))
         if held:
             ready.append(flush(True))
         if ready:
             yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
-    rows = content_sorted(docs, id_col, text_col, keep, F.struct(docs[text_col]))
-    slim = cut(arrow_map(rows, local, "id long, keep_id long, group_size long, kept boolean, sha binary, part int, edge boolean"))
-    best = F.max("keep_id") if keep == "largest" else F.min("keep_id")
-    edges = slim.where("edge and kept").groupBy(F.col("sha").alias("all_sha")).agg(best.alias("all_id"), F.sum("group_size").alias("all_size"), F.min("part").alias("all_part"), F.count("*").alias("parts")).where("parts > 1")
-    joined = slim.join(F.broadcast(edges), (F.col("sha") == F.col("all_sha")) & F.col("edge"), "left")
+    text = "text"
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias(text), F.struct(*(docs[c] for c in also) or [F.lit(0).alias("none")]).alias("also"))
+    spread = content_sorted(rows, "id", text, keep, F.struct("text", "also"), fold).select("part", "id", "norm", "row")
+    kind, more = rows.schema["id"].dataType.simpleString(), rows.schema["also"].dataType.simpleString()
+    slim = cut(arrow_map(spread, local, f"id {kind}, keep_id {kind}, group_size long, kept boolean, sha binary, part int, run int, text binary, also {more}"))
+    runs = slim.where("text is not null").select(F.col("keep_id").alias("id"), "group_size", "part", "run", "text")
+    joined = slim.join(F.broadcast(crossing(runs, keep, F.col("group_size"))), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left")
     return joined.select(
         F.col("id").alias(id_col),
-        F.when(F.col("parts").isNull(), F.col("keep_id")).otherwise(F.col("all_id")).alias("keep_id"),
+        F.when(F.col("wins").isNull(), F.col("keep_id")).otherwise(F.col("all_id")).alias("keep_id"),
         F.coalesce("all_size", "group_size").alias("group_size"),
-        (F.col("kept") & F.coalesce(F.col("all_part") == F.col("part"), F.lit(True))).alias("kept"),
+        (F.col("kept") & F.coalesce("wins", F.lit(True))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *(F.col("also")[c].alias(c) for c in also),
     )
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group of equal texts one row."""
+    """The rows of docs that stay, with all their columns, whatever they are called: of each group of equal texts one row.
+
+    Null and empty texts are one group, of which one row stays. Of rows with equal texts and ids (repeated rows) just one stays; a
+    null id stays only where a group has no other. Very long texts are compared whole. An empty table gives no rows.
+    """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first = TaskContext.get().partitionId(), True
-        for batch, begins in neighbours(batches, text_col):
+        part_was, text_was, run = None, None, -1
+        for batch in batches:
+            begins, runs, fronts = [], [], []
+            for part, text in zip(batch.column("part").to_pylist(), as_bytes(batch.column("norm")), strict=True):
+                begin = part != part_was or text != text_was
+                if begin:
+                    run += 1
+                    runs.append(run)
+                    fronts.append(part != part_was)
+                begins.append(begin)
+                part_was, text_was = part, text
             kept = batch.filter(pa.array(begins, pa.bool_()))
-            front = [first and i == 0 for i in range(kept.num_rows)]
-            first = first and not front
-            yield pa.RecordBatch.from_arrays([kept.column("row"), kept.column("sha"), pa.array([part] * len(front), pa.int32()), pa.array(front, pa.bool_())], names=["row", "sha", "part", "front"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("row", "id", "part")), pa.array([hashlib.sha256(x).digest() for x in as_bytes(kept.column("norm"))], pa.binary()), pa.array(runs, pa.int32()), pa.array(fronts, pa.bool_())], names=["row", "id", "part", "sha", "run", "front"])
 
-    rows = content_sorted(docs, id_col, text_col, keep, F.struct(*(docs[c] for c in docs.columns)))
-    slim = stored(arrow_map(rows, heads, f"row {rows.schema['row'].dataType.simpleString()}, sha binary, part int, front boolean"))
-    # the row in front of a partition may go on with a run of the partition before: one such hash for each partition
+    rows = content_sorted(docs, id_col, text_col, keep, F.struct(*(docs[c] for c in docs.columns)), fold_case)
+    slim = stored(arrow_map(rows, heads, f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, part int, sha binary, run int, front boolean"))
+    # the row in front of a range may go on with a run of the range before: only contents that are in front somewhere can cross
     fronts = slim.where("front").select("sha").distinct()
-    least = slim.join(F.broadcast(fronts), "sha", "left_semi").groupBy("sha").agg(F.min("part").alias("least"))
-    return slim.join(F.broadcast(least), "sha", "left").where("least is null or part = least").select("row.*")
+    norm = F.translate(F.coalesce(F.col("row").getField(text_col), F.lit("")), UPPER_AZ, LOWER_AZ).cast("binary")
+    runs = slim.join(F.broadcast(fronts), "sha", "left_semi").select("id", "part", "run", norm.alias("text"))
+    losers = crossing(runs, keep, F.lit(1)).where("not wins").select("at_part", "at_run")
+    return slim.join(F.broadcast(losers), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left_anti").select("row.*")
+
+
