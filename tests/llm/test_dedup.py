@@ -9,12 +9,12 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallgrass.llm import simhash, substring
+from tallgrass.llm import common, simhash, substring
 from tallgrass.llm.common import connected_components, forest
 from tallgrass.llm.exact import drop_exact, exact_groups
 from tallgrass.llm.lines import drop_boilerplate, line_digests
 from tallgrass.llm.simhash import drop_near, fingerprints_of, near_components, near_links
-from tallgrass.llm.substring import drop_repeated, packed, substring_digests, unpacked
+from tallgrass.llm.substring import Anchors, drop_repeated, sent_rows, shards_for, substring_digests, suspects
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -196,9 +196,11 @@ def test_substring(spark, corpus, window, monkeypatch):
     rows = corpus + [(None, corpus[0][1]), (4, "q " * 30 + "end"), (4, "z " * 30), (5, "q " * 31)]
     want = sorted(brute_substring(rows, window), key=repr)
     assert sorted(map(tuple, substring_digests(docs_of(spark, rows), window=window).collect()), key=repr) == want
-    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(substring, "MOST", 1 << 10)  # a sketch so small that it filters nothing
-    monkeypatch.setattr(substring, "LEAST", 1 << 10)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substring, "ROOM", 1e-4)  # a sketch so small that it filters next to nothing
+    monkeypatch.setattr(substring, "GATHER", 300)
+    monkeypatch.setattr(substring, "HOT_SHARE", 5)
+    monkeypatch.setattr(substring, "CODES", 40)  # most words are written out
     assert sorted(map(tuple, substring_digests(docs_of(spark, rows), window=window).collect()), key=repr) == want
 
 
@@ -217,9 +219,41 @@ def test_left_text():
     assert cut((1, 2)) == b" a d e\t" and cut((0, 1)) == b" b\n\nc  d e\t" and cut((3, 2)) == b" a b\n\nc" and cut((0, 5)) == b"" and cut((0, 1), (2, 1)) == b" b\n\nd e\t"
 
 
-def test_gaps():
-    at = np.array([0, 3, 65535, 65536, 65536 + 65535, 65536 + 2 * 65535, 500_000, 500_001])
-    assert unpacked(packed(np.diff(at, prepend=0))).tolist() == at.tolist()
+def test_sketch_loses_no_window(spark, monkeypatch):
+    """Every anchor that two texts have is told to both; a saturated sketch tells more, a roomy one few besides."""
+    r = random.Random(2)
+    texts = [" ".join(r.choices("abcdefghijklmnop", k=r.randint(0, 60))) for _ in range(300)]
+    anchors = Anchors([t.encode() for t in texts], {}, 13)
+    sets = [set(x.tolist()) for x in np.split(anchors.anchor, np.cumsum(anchors.many)[:-1])]
+    times = defaultdict(int)
+    for x in sets:
+        for a in x:
+            times[a] += 1
+    want = {(k, a & 0xFFFFFFFF) for k, x in enumerate(sets) for a in x if times[a] > 1}
+    every = {(k, a & 0xFFFFFFFF) for k, x in enumerate(sets) for a in x}
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(6)
+    for gather, room in ((1 << 20, 8), (100, 8), (100, 1e-4)):
+        monkeypatch.setattr(substring, "GATHER", gather)
+        monkeypatch.setattr(substring, "ROOM", room)
+        got = {(x["key"], int(a)) for x in suspects(rows, sum(len(t.split()) for t in texts), 13).collect() for a in np.frombuffer(x["anchors"], dtype=np.uint32)}
+        assert want <= got <= every and (room < 1 or len(got - want) < 0.1 * len(every))
+
+
+def test_shards_grow():
+    assert shards_for(1) == 16 and shards_for(10**9) == 10**9 >> 21 and shards_for(10**12) == 10**12 >> 23
+    a = np.array([5 << 40, 6 << 40, 5 << 40, 9 << 50], dtype=np.uint64)
+    kinds = {b.column("kind")[0].as_py(): b for b in sent_rows(a, np.array([0, 0, 1, 1]), np.array([70, 71]), 16, 3)}
+    assert kinds[1].num_rows == 1 and sum(map(sum, kinds[0].column("counts").to_pylist())) == 2 and kinds[2].column("docs").to_pylist() == [[70, 71]]
+
+
+def test_substring_of_odd_ids(spark):
+    """Ids of text; a window that very many rows share; words with odd bytes."""
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(f"d{i:04}", " ".join(r.choices(["\x00", "\x01", "a\x00", "b", "é"], k=20)) + " " + (passage if i % 3 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    assert sorted(map(tuple, substring_digests(docs).collect())) == sorted(brute_substring(rows, 13))
+    assert substring_digests(docs.limit(0)).count() == 0 and drop_repeated(docs.limit(0)).count() == 0
 
 
 def test_lines(spark):
@@ -250,3 +284,24 @@ def test_lines(spark):
     plan = line_digests(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert line_digests(docs.limit(0)).count() == 0
+
+
+def test_exact_of_odd_tables(spark, monkeypatch):
+    """Ids of text, contents that agree over a splitter's whole length, runs held in pieces, empty tables."""
+    from tallgrass.llm import exact
+
+    docs = spark.createDataFrame([("b", "X", 1), ("a", "x", 2), ("c", None, 3), (None, "", 4), ("a", "x", 5)], "doc_id string, text string, PART int")
+    got = sorted(map(tuple, exact_groups(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept").collect()), key=repr)
+    assert got == sorted([("b", "b", 3, True), ("a", "b", 3, False), ("a", "b", 3, False), ("c", "c", 2, True), (None, "c", 2, False)], key=repr)
+    assert sorted(r["doc_id"] for r in drop_exact(docs).collect()) == ["a", "c"]
+    assert exact_groups(docs.limit(0)).count() == 0 and drop_exact(docs.limit(0)).count() == 0 and drop_exact(docs).schema == docs.schema
+
+    monkeypatch.setattr(exact, "KEY", 8)
+    monkeypatch.setattr(exact, "HELD", 7)
+    rows = [(i, "Long lead " + ("same" if i % 3 else str(i % 40)) * 50) for i in range(600)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    got = exact_groups(docs_of(spark, rows), keep="smallest").collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, ids[0], len(ids), i == ids[0]) for ids in groups.values() for i in ids} and len(got) == 600
+    assert sorted(r["doc_id"] for r in drop_exact(docs_of(spark, rows)).collect()) == sorted(ids[0] for ids in groups.values())
