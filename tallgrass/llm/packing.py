@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, as_bytes, cut, sliced
+from .common import LOWER, arrow_map, as_bytes, checked_small, cut, sliced
 
 #: Words that a bin holds; pieces that are packed together at most, about.
 CAPACITY, TOGETHER = 2048, 4096
+#: Rows of one id and one content that may meet in a group by their hash.
+ALIKE = 16
 CHUNK = 4 << 20
 
 PIECES = "piece int, start long, length long, bin_group int, bin_no int"
@@ -58,7 +60,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     packed as rows of their own, never into one bin. An empty table gives no rows.
 
     Rows are dealt to groups of about `together` by a hash of id and content and packed group by group: memory and time of a
-    task don't grow with the table, and the hot source is spread evenly. Groups share no bins.
+    task don't grow with the table, and the hot source is spread evenly. Rows that repeat an id (or a null id) with one
+    content over ALIKE times are dealt one by one. Groups share no bins. Very long texts are measured whole; columns with other
+    names aren't read.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,5 +99,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     kind = rows.schema["id"].dataType.simpleString()
     slim = cut(arrow_map(rows, measure, f"id {kind}, source string, words long, cluster binary"))
     groups = max(1, -(-slim.count() // together))
-    dealt = slim.withColumn("bin_group", F.pmod(F.xxhash64("id", "cluster"), F.lit(groups)).cast("int"))
+    alike = slim.groupBy("id", "cluster").agg(F.count("*").alias("n")).where(F.col("n") > ALIKE).select(F.col("id").alias("of"), F.col("cluster").alias("of_cluster"), F.lit(1).alias("often"))
+    # slim is a checkpoint, so that a row's running number is the same whenever a task runs
+    numbered = slim.withColumn("row", F.monotonically_increasing_id())
+    salted = numbered.join(checked_small(cut(alike)), F.col("id").eqNullSafe(F.col("of")) & (F.col("cluster") == F.col("of_cluster")), "left")
+    dealt = salted.select("id", "source", "words", "cluster", F.pmod(F.xxhash64("id", "cluster", F.when(F.col("often") == 1, F.col("row"))), F.lit(groups)).cast("int").alias("bin_group"))
     return dealt.groupBy("bin_group").applyInArrow(fill, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
