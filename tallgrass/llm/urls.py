@@ -45,7 +45,7 @@ def rule(verdict: str, pattern: str, site: bool = False) -> Rule:
     for c in body:
         regex += ".*" if c == "*" else r"(?:[^A-Za-z0-9_.%-]|$)" if c == "^" else re.escape(c)
     whole = []
-    for m in TOKEN.finditer(body.lower()):
+    for m in TOKEN.finditer(body.translate(LOW)):
         left = body[m.start() - 1] if m.start() else "" if body == pattern else "."
         right = body[m.end() : m.end() + 1]
         if left and right and "*" not in (left, right):
@@ -63,23 +63,32 @@ def parts(url: str | None) -> tuple[str, str]:
 
 
 class Index:
-    """Rules by their rarest token; rules without a token are tried on every address."""
+    """Rules by their rarest token; rules without a token are tried on every address.
+
+    Addresses and rules are cut into tokens alike: A-Z count as a-z, and a letter outside them ends a token."""
 
     def __init__(self, rules: Iterable[Rule], counts: dict[str, int]):
-        self.by_token: dict[str, list] = {}
-        self.always: list = []
+        self.by_token: dict[str, list[Rule]] = {}
+        self.always: list[Rule] = []
+        self.compiled: dict[str, re.Pattern] = {}
         for r in rules:
-            entry = (r, re.compile(r.regex, re.DOTALL))
             if r.tokens:
-                self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(entry)
+                self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
             else:
-                self.always.append(entry)
+                self.always.append(r)
+
+    def expression(self, r: Rule) -> re.Pattern:
+        """Compiled when the rule is first fetched: most of a long list never are."""
+        out = self.compiled.get(r.regex)
+        if out is None:
+            out = self.compiled[r.regex] = re.compile(r.regex, re.DOTALL)
+        return out
 
     def fitting(self, host: str, path: str) -> Iterator[Rule]:
         address = host + path
-        for token in {None, *TOKEN.findall(address.lower())}:
-            for r, regex in self.always if token is None else self.by_token.get(token, ()):
-                if regex.search(address):
+        for token in {None, *TOKEN.findall(address.translate(LOW))}:
+            for r in self.always if token is None else self.by_token.get(token, ()):
+                if self.expression(r).search(address):
                     yield r
 
 
@@ -101,7 +110,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         found: Counter = Counter()
         for batch in batches:
             for url in batch.column("url").to_pylist():
-                found.update(wanted.intersection(TOKEN.findall("".join(parts(url)).lower())))
+                found.update(wanted.intersection(TOKEN.findall("".join(parts(url)).translate(LOW))))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
 
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
