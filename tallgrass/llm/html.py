@@ -6,6 +6,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,17 +16,20 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, sliced
 
-#: Tags that don't end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose content is no text, and those that have none.
-RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "template", "svg", "iframe", "noembed", "noframes", "select", "object")}
-#: Of these, elements that hold markup: without an end tag of its own, only the tag itself is skipped.
-PAIRS = {t: re.compile(rf"<(/?){t}(?![A-Za-z0-9:-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.IGNORECASE) for t in ("template", "svg", "select", "object")}
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that begin and end a block; all others, unknown ones too, stand within the text.
+BLOCK = frozenset("""address article aside audio blockquote body canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
+    h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav noscript ol optgroup option p plaintext pre search section select summary table tbody td tfoot th thead tr ul video xmp""".split())
+#: Elements whose content is no text; of these, those that take the rest of the page if they aren't closed.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes")}
+ENDLESS = frozenset(("script", "style"))
+TEMPLATE = re.compile(r"<(/?)template(?=[\s/>])", re.IGNORECASE)
+VOID = frozenset("col hr".split())
 #: Open elements that these end.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: Up to the end of a tag: quotes hold a > only where a value begins with them. Nothing is tried twice.
+ATTRIBUTES = re.compile(r"((?:[^>=]++|=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PIECE = re.compile(r"[a-z]+", re.IGNORECASE)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -33,31 +37,35 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PATH_DIMS, WORD_DIMS, OTHER_DIMS = 256, 48, 8
 #: Units in each direction; pages that are labelled together; pages, passes and seed of the training.
 UNITS, TOGETHER, PAGES, PASSES, SEED = 20, 64, 3000, 6, 7
-CHUNK = 8 << 20
+#: Open elements in a path; places for blocks that are labelled together, so that memory doesn't grow with a page's features.
+DEPTH, PLACES = 64, 8192
+CHUNK = 1 << 20
 
 
-def paired(page: str, tag: str) -> dict[int, int]:
-    """Where an element's start tag ends: where its end tag does. A self-closing svg has none."""
+def paired(page: str) -> dict[int, int]:
+    """Where the start tag of a template begins: where its end tag does. Those without an end tag aren't there."""
     out, begun = {}, []
-    for m in PAIRS[tag].finditer(page):
-        if m[1]:
-            if begun:
-                out[begun.pop()] = m.end()
-        elif tag != "svg" or not m[2].endswith("/"):
-            begun.append(m.end())
+    for m in TEMPLATE.finditer(page):
+        if not m[1]:
+            begun.append(m.start())
+        elif begun:
+            out[begun.pop()] = m.start()
     return out
 
 
 def blocks(page: str) -> list[tuple[str, str, float]]:
     """(path, text, share of its characters in links) of each leaf of a page that has text, in page order.
 
-    A path has a part for each open block element: its tag and the words of its class, id and role. Character
-    references are decoded; white space is one space. Comments, scripts, styles and markup are no text.
+    A path has a part for each open block element, of the innermost DEPTH: its tag and the words of its class, id and role. Character
+    references are decoded; white space is one space. Comments, scripts, styles, templates and markup are no text; nor is a
+    tag that the page breaks off in. The page is read once, forward.
     """
     out: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter = Counter()
     text: list[str] = []
-    pairs: dict[str, dict[int, int]] = {}
+    hidden = paired(page) if "<template" in page.lower() else {}
+    unclosed: set[str] = set()
     linked = depth = at = 0
 
     def flush() -> None:
@@ -66,7 +74,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             whole = "".join(text)
             words = " ".join((html.unescape(whole) if "&" in whole else whole).split())
             if words:
-                out.append((" ".join(x[1] for x in stack), words, min(1.0, linked / max(1, len(whole)))))
+                out.append((" ".join(x[1] for x in stack[-DEPTH:]), words, min(1.0, linked / max(1, len(whole)))))
             text.clear()
         linked = 0
 
@@ -77,13 +85,42 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             if depth:
                 linked += len(part)
 
-    while m := MARKUP.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0:
+            say(page[at:])
+            break
+        m = TAG.match(page, begin)
+        if not m:
+            other = page[begin + 1 : begin + 2]
+            say(page[at : begin if other in ("!", "?") else begin + 1])
+            at = begin + 1
+            if other in ("!", "?"):
+                mark = "-->" if page.startswith("<!--", begin) else ">"
+                end = page.find(mark, begin + 2)
+                at = end + len(mark) if end >= 0 else len(page)
+            continue
+        say(page[at:begin])
+        tag, rest = m[2].lower(), ATTRIBUTES.match(page, m.end())
+        at = rest.end() if rest else page.find(">", m.end()) + 1  # a quote that never ends doesn't hold the tag open
+        if not at:
+            break
+        attributes = page[m.end() : at - 1]
+        if not m[1] and tag == "template" and begin in hidden:
+            end = page.find(">", hidden[begin])
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        if not m[1] and tag in RAW and tag not in unclosed:
+            end = RAW[tag].search(page, at)
+            if end:
+                close = page.find(">", end.end())
+                at = close + 1 if close >= 0 else len(page)
+            elif tag in ENDLESS:
+                break
+            else:
+                unclosed.add(tag)
             continue
-        tag = m[2].lower()
-        if tag in INLINE:
+        if tag not in BLOCK:
             if tag == "br":
                 say(" ")
             elif tag == "a":
@@ -91,27 +128,18 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             continue
         flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    depth = 0
-                    break
-            continue
-        if tag in RAW:
-            if tag in PAIRS:
-                if tag not in pairs:
-                    pairs[tag] = paired(page, tag)
-                at = pairs[tag].get(at, at)
-                continue
-            end = RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
+            if opened[tag]:
+                depth = 0
+                while stack[-1][0] != tag:
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
             continue
         if stack and (stack[-1][0] in ENDS.get(tag, ()) or stack[-1][0] == "p" and tag in PARAGRAPH_ENDS):
-            stack.pop()
-        if tag not in VOID and not m[3].endswith("/"):
-            names = " ".join(x for found in NAMED.finditer(m[3]) for x in PIECE.findall(CAMEL.sub(" ", found[2] or found[3] or found[4] or "")))
+            opened[stack.pop()[0]] -= 1
+        if tag not in VOID and not attributes.endswith("/"):
+            names = " ".join(x for found in NAMED.finditer(attributes) for x in PIECE.findall(CAMEL.sub(" ", found[2] or found[3] or found[4] or "")))
             stack.append((tag, f"{tag}.{names.lower().replace(' ', '.')}" if names else tag))
-    say(page[at:])
+            opened[tag] += 1
     flush()
     return out
 
@@ -134,12 +162,13 @@ def path_vector(path: str) -> np.ndarray:
     return np.tanh(out)
 
 
-def features(page: list[tuple[str, str, float]]) -> np.ndarray:
-    """A row for each block: path, words hashed, and counts."""
+def features(page: list[tuple[str, str, float]], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """A row for each block of a page, or of those from begin to end: path, words hashed, and counts."""
     n = len(page)
-    out = np.zeros((n, PATH_DIMS + WORD_DIMS + OTHER_DIMS), dtype=np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        row = out[i]
+    part = page[begin:end]
+    out = np.zeros((len(part), PATH_DIMS + WORD_DIMS + OTHER_DIMS), dtype=np.float32)
+    for i, (path, text, linked) in enumerate(part, begin):
+        row = out[i - begin]
         row[:PATH_DIMS] = path_vector(path)
         words = text.lower().split(" ")
         counts = np.bincount(np.fromiter(map(hashed, words), dtype=np.int64, count=len(words)) % WORD_DIMS, minlength=WORD_DIMS)
@@ -161,30 +190,38 @@ class Labeller:
         self.w |= {f"c{i}": np.repeat(np.float32([0, 1, 0, 0]), h) for i in "fb"}
         self.w |= {"o": (r.normal(size=(2 * h, 1)) / np.sqrt(2 * h)).astype(np.float32), "d": np.zeros(1, dtype=np.float32)}
 
-    def sweep(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """Outputs (time, page, unit) of one direction over inputs (time, page, feature); what training needs of them."""
+    def sweep(self, x: np.ndarray, mask: np.ndarray, side: str, kept: list | None = None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """Outputs (time, page, unit) of one direction over inputs (time, page, feature), and the state after the last.
+
+        kept, if given, gets what training needs of each step; state is that of an earlier part of the same pages."""
         n, b, _ = x.shape
         u, k = self.w[f"h{side}"], UNITS
         given = x @ self.w[f"x{side}"] + self.w[f"c{side}"]
-        h = c = np.zeros((b, k), dtype=np.float32)
-        out, kept = np.zeros((n, b, k), dtype=np.float32), []
+        h, c = state or (np.zeros((b, k), dtype=np.float32),) * 2
+        out = np.zeros((n, b, k), dtype=np.float32)
         for t in range(n):
             z = given[t] + h @ u
             gates, g = sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
             i, f, o = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]
             new = f * c + i * g
             tan = np.tanh(new)
-            kept.append((h, c, i, f, o, g, tan))
+            if kept is not None:
+                kept.append((h, c, i, f, o, g, tan))
             m = mask[t]
             h, c = m * (o * tan) + (1 - m) * h, m * new + (1 - m) * c
             out[t] = h
-        return out, kept
+        return out, (h, c)
+
+    def chance(self, both: np.ndarray) -> np.ndarray:
+        return sigmoid((both @ self.w["o"])[..., 0] + self.w["d"])
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
-        ahead, kept = self.sweep(x, mask, "f")
-        back, kept_back = self.sweep(x[::-1], mask[::-1], "b")
+        kept: list = []
+        kept_back: list = []
+        ahead, _ = self.sweep(x, mask, "f", kept)
+        back, _ = self.sweep(x[::-1], mask[::-1], "b", kept_back)
         both = np.concatenate([ahead, back[::-1]], 2)
-        return sigmoid((both @ self.w["o"])[:, :, 0] + self.w["d"]), both, kept, kept_back
+        return self.chance(both), both, kept, kept_back
 
     def unsweep(self, x: np.ndarray, mask: np.ndarray, side: str, kept: list, d_out: np.ndarray, grad: dict) -> None:
         u, k = self.w[f"h{side}"], UNITS
@@ -232,17 +269,38 @@ class Labeller:
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     self.w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Which blocks of each page are main text. Pages with about as many blocks are labelled together."""
+    def label(self, pages: list[list[tuple[str, str, float]]]) -> list[np.ndarray]:
+        """Which blocks of each page are main text. Pages with about as many blocks are labelled together, PLACES in all."""
         out: list = [np.zeros(0, dtype=bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), TOGETHER):
-            batch = order[k : k + TOGETHER]
-            p = self.forward(*padded([pages[i] for i in batch]))[0]
+        while order:
+            most = len(pages[order[-1]])
+            if most > PLACES:
+                i = order.pop()
+                out[i] = self.label_long(pages[i])
+                continue
+            batch = order[-max(1, min(TOGETHER, PLACES // most)) :]
+            del order[-len(batch) :]
+            x, mask = padded([features(pages[i]) for i in batch])
+            ahead, back = self.sweep(x, mask, "f")[0], self.sweep(x[::-1], mask[::-1], "b")[0][::-1]
+            p = self.chance(np.concatenate([ahead, back], 2))
             for j, i in enumerate(batch):
                 out[i] = p[: len(pages[i]), j] > 0.5
         return out
 
+    def label_long(self, page: list[tuple[str, str, float]]) -> np.ndarray:
+        """The same for a page with very many blocks, whose features are made part by part, once for each direction."""
+        n, both, one = len(page), np.zeros((len(page), 2 * UNITS), dtype=np.float32), np.ones((PLACES, 1, 1), dtype=np.float32)
+        state = None
+        for i in range(0, n, PLACES):
+            ahead, state = self.sweep(features(page, i, i + PLACES)[:, None], one, "f", state=state)
+            both[i : i + PLACES, :UNITS] = ahead[:, 0]
+        state = None
+        for i in range((n - 1) // PLACES * PLACES, -1, -PLACES):
+            back, state = self.sweep(features(page, i, i + PLACES)[::-1, None], one, "b", state=state)
+            both[i : i + PLACES, UNITS:] = back[::-1, 0]
+        return self.chance(both) > 0.5
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = max(map(len, pages))
@@ -325,6 +383,8 @@ def made_page(r: random.Random) -> str:
             body = links(r.randint(1, 7)) if tag != "ul" else links(r.randint(1, 7))[4:-5]
         elif kind == "form":
             body = f"<label>{say(1, 3, end='')}</label><input name=q><button>{say(1, 2, end='')}</button>" + (f"<p>{say(2, 20)}</p>" if r.random() < 0.4 else "")
+            if r.random() < 0.3:
+                body += "<select>" + "".join(f"<option>{say(1, 2, end='')}</option>" for _ in range(r.randint(1, 5))) + "</select>"
         elif kind == "comments":
             body = "".join(f"<{(t := r.choice(['div', 'li', 'article']))} class={r.choice(['comment', 'reply', 'response'])}><span>{say(1, 2, end='')}</span><p>{say(1, 60)}</p></{t}>" for _ in range(r.randint(1, 5)))
             body = (f"<h3>{say(1, 3, end='')}</h3>" if r.random() < 0.5 else "") + body
@@ -395,7 +455,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: id, url, text, n_chars. text joins the blocks that the labeller takes for main text, in page order, by one \\n.
 
     A null or empty page, and one without main text, has the empty text. Whole pages are read; nothing is cut. The
-    labeller reads all blocks of a page, from both ends. It is trained by the driver on a bounded number of made pages and
+    labeller reads all blocks of a page, from both ends; a very long page is labelled part by part with the state carried over. It is trained by the driver on a bounded number of made pages and
     goes to the tasks with the function (some 140 KB). Repeated rows get a row each; other columns aren't read; an empty table
     gives no rows.
     """
@@ -404,7 +464,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html", CHUNK):
             found = [blocks(x or "") for x in batch.column("html").to_pylist()]
-            labels = model.label([features(x) for x in found])
+            labels = model.label(found)
             texts = ["\n".join(b[1] for b, main in zip(x, y, strict=True) if main) for x, y in zip(found, labels, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
