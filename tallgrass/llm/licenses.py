@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, as_bytes, checked_small, cut, sliced
 
-#: A line, a window or a whole short text is taken for the license whose template it is most like, from this cosine on.
+#: A line or a window is taken for the license whose template it is most like, from this cosine on.
 THRESHOLD = 0.7
+#: What stands beside the notices of most licenses too: it counts only where no other license is found.
+WEAK = frozenset(("proprietary",))
 CHUNK = 4 << 20
 
 #: (license, template): notices as they stand in headers, and how license files begin. Fixed values.
@@ -60,6 +62,14 @@ BLOCKS = [
 
 TERM = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 KINDS = {b"lesser", b"library", b"affero"}
+Found = tuple[float, str | None]
+
+
+def rank(found: Found) -> tuple[bool, float]:
+    """By what a find is judged: any license comes before a weak one, whatever their scores."""
+    return found[1] is not None and found[1] not in WEAK, found[0]
+
+
 LICENSE_FILE = r"(?i)^(license|licence|copying|notice)([.-].*)?$"
 
 
@@ -103,26 +113,23 @@ class Scorer:
                     leading.add(t)
                 rest -= (x / norm) ** 2
         self.leading = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(map(re.escape, sorted(leading))) + rb")(?![a-z0-9])")
-        self.longest = max(len(terms(t.encode())) for _, t in templates)
 
     def weights(self, words: list[bytes]) -> dict[bytes, float]:
         return {t: (1 + math.log(c)) * self.idf.get(t, self.other) for t, c in Counter(words).items()}
 
-    def best(self, words: list[bytes]) -> tuple[float, str | None]:
+    def best(self, words: list[bytes]) -> Found:
+        """The template that is most like the words; of equal scores the earlier one. (0, None) below the threshold."""
         w = self.weights(words)
         dots: dict[int, float] = {}
         for t, x in w.items():
             for i, y in self.by_term.get(t, ()):
                 dots[i] = dots.get(i, 0.0) + x * y
-        if not dots:
-            return 0.0, None
-        i = max(dots, key=lambda k: (dots[k], -k))
-        score = dots[i] / math.sqrt(sum(x * x for x in w.values()))
-        return (score, self.names[i]) if score >= self.threshold else (0.0, None)
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        found = [(dots[i] / norm, self.names[i]) for i in sorted(dots) if dots[i] >= self.threshold * norm]
+        return max(found, key=rank, default=(0.0, None))
 
     def scan(self, text: bytes) -> tuple[float, str | None, list[tuple[int, int]]]:
-        """The best of all lines, and of the whole text if it is no longer than twice the longest template; and between
-        which terms the lines that reach the threshold lie."""
+        """The best of all lines, and between which terms the lines that reach the threshold lie."""
         low = text.lower()
         found, seen, taken = (0.0, None), set(), []
         for m in self.leading.finditer(low):
@@ -132,12 +139,10 @@ class Scorer:
                 seen.add(begin)
                 words = TERM.findall(line)
                 score = self.best(words)
-                found = max(found, score, key=lambda x: x[0])
+                found = max(found, score, key=rank)
                 if score[1]:
                     first = len(TERM.findall(low, 0, begin))
                     taken.append((first, first + len(words)))
-        if seen and len(words := TERM.findall(low)) <= 2 * self.longest:
-            found = max(found, self.best(words), key=lambda x: x[0])
         return *found, taken
 
 
@@ -166,7 +171,7 @@ class Windows:
             rest = 1 - np.cumsum(w[order] ** 2) + w[order] ** 2
             self.leading.append(np.isin(np.arange(len(w)), order[(rest >= threshold**2 * 0.999) & (w[order] > 0)]))
 
-    def best(self, words: list[bytes], taken: list[tuple[int, int]] = ()) -> tuple[float, str | None]:
+    def best(self, words: list[bytes], taken: list[tuple[int, int]] = ()) -> Found:
         """The best window; of equal scores that of the earlier template. (0, None) below the threshold.
 
         Windows within one of the runs of terms in taken don't count: such a line has been judged as one.
@@ -183,13 +188,13 @@ class Windows:
         ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
         idf = np.array([self.idf.get(t, self.other) for t in number])
         place = np.array([self.places.get(t, -1) for t in number])
-        top, name = 0.0, None
+        top: Found = (0.0, None)
         for k in able:
             y = np.where(place >= 0, self.weight[k, place], 0.0)
             score = self.slide(ids, idf, y, np.where(place >= 0, self.leading[k][place], False), self.sizes[k], taken)
-            if score > top:
-                top, name = score, self.names[k]
-        return (top, name) if top >= self.threshold else (0.0, None)
+            if score >= self.threshold:
+                top = max(top, (score, self.names[k]), key=rank)
+        return top
 
     def slide(self, ids: np.ndarray, idf: np.ndarray, y: np.ndarray, leading: np.ndarray, size: int, taken: list[tuple[int, int]]) -> float:
         """The best cosine of a window of so many terms, or of the whole text if it has fewer."""
@@ -232,10 +237,10 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
 
     own_license is that of the best line of the whole text (null below the threshold, and for null or empty texts; of
     equal scores the earlier line, then the earlier template), or of the best window if that scores higher: windows as long
-    as each of templates and blocks are taken from the whole text, however long, but not from within lines that have a
-    license as they are. license is the file's own, else that of the license
+    as each of templates and blocks are taken from the whole text, however long and however its lines are broken, but not from within lines that have a
+    license as they are. A license in WEAK is found only where no other is. license is the file's own, else that of the license
     files (LICENSE, COPYING, NOTICE, by name) of the nearest directory that has any with a license: of several in one
-    directory the one with the highest score, then the smallest id. license_from is the id it is from. Files with null path have the
+    directory the one that isn't weak, then with the highest score, then the smallest id. license_from is the id it is from. Files with null path have the
     empty directory. Repeated rows get a row each; other columns aren't read; an empty table gives no rows.
 
     Document frequencies of the templates' terms are counted over all texts; only those go to the driver. Directories,
@@ -266,15 +271,15 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str, t
             for x in as_bytes(batch.column("text")):
                 *line, taken = scorer.scan(x)
                 words = terms(x)
-                window = max(short.best(words, taken), long.best(named(words), taken), key=lambda x: x[0])
-                out.append(window if window[0] > line[0] + 1e-9 else line)
+                window = max(short.best(words, taken), long.best(named(words), taken), key=rank)
+                out.append(window if rank(window) > rank((line[0] + 1e-9, line[1])) else line)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([x[1] for x in out], pa.string()), pa.array([round(x[0], 9) for x in out], pa.float64())], names=["id", "path", "own_license", "own_score"])
 
     kind = rows.schema["id"].dataType.simpleString()
     scanned = cut(arrow_map(rows, run, f"id {kind}, path string, own_license string, own_score double"))
     scanned = scanned.withColumn("dir", F.when(F.col("path").contains("/"), F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")).otherwise(F.lit("")))
     givers = scanned.where(F.substring_index("path", "/", -1).rlike(LICENSE_FILE) & F.col("own_license").isNotNull())
-    given = givers.groupBy(F.col("dir").alias("from_dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "id", "own_license")).alias("best")).select("from_dir", F.col("best.id").alias("from_id"), F.col("best.own_license").alias("from_license"))
+    given = givers.groupBy(F.col("dir").alias("from_dir")).agg(F.min(F.struct(F.col("own_license").isin(*WEAK).alias("weak"), (-F.col("own_score")).alias("s"), "id", "own_license")).alias("best")).select("from_dir", F.col("best.id").alias("from_id"), F.col("best.own_license").alias("from_license"))
     parts = F.split("dir", "/", -1)
     up = scanned.select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("above")))).alias("a")).select("dir", "a.depth", "a.above")
     nearest = up.join(checked_small(cut(given)), F.col("above") == F.col("from_dir")).groupBy("dir").agg(F.max_by(F.struct("from_id", "from_license"), "depth").alias("near")).select(F.col("dir").alias("of"), "near")

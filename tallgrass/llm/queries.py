@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact import exact_groups
 from .html import extract
-from .licenses import TEMPLATES, THRESHOLD, scan_licenses
+from .licenses import TEMPLATES, THRESHOLD, WEAK, scan_licenses
 from .lines import line_digests
 from .packing import pack
 from .pieces import decode, encode
@@ -89,6 +89,7 @@ def covered_sql(size: int, texts: str = "p") -> str:
 
 
 TEMPLATES_SQL = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+WEAK_SQL = ", ".join(f"'{x}'" for x in sorted(WEAK))
 TERM_SQL = r"'[a-z0-9]+(?:[.-][a-z0-9]+)*'"
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -148,22 +149,20 @@ d AS (SELECT doc_id, {ASCII_LOWER.format("coalesce(text, '')")} AS low,
   (CASE WHEN doc_id % 100 = 0 THEN source WHEN doc_id % 20 = 0 THEN source || '/' || lang ELSE source || '/' || lang || '/d' || (doc_id % 13) END) AS dir,
   (CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS base FROM documents),
 tt AS (SELECT k, term, count(*) AS c FROM (SELECT k, unnest(regexp_extract_all(lower(body), {TERM_SQL})) AS term FROM t) GROUP BY ALL),
-longest AS (SELECT max(len(regexp_extract_all(lower(body), {TERM_SQL}))) AS n FROM t),
 whole AS (SELECT doc_id, regexp_extract_all(low, {TERM_SQL}) AS words FROM d),
 n AS (SELECT count(*) AS n FROM d),
 df AS (SELECT term, count(DISTINCT doc_id) AS c FROM (SELECT doc_id, unnest(words) AS term FROM whole) SEMI JOIN tt USING (term) GROUP BY term),
 idf AS (SELECT term, ln((n + 1) / (coalesce(df.c, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
 tw AS (SELECT k, term, (1 + ln(c)) * idf AS x FROM tt JOIN idf USING (term)),
 tn AS (SELECT k, sqrt(sum(x * x)) AS norm FROM tw GROUP BY k),
-parts AS (SELECT doc_id, i, regexp_extract_all(line, {TERM_SQL}) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, unnest(range(len(string_split(low, chr(10))))) AS i FROM d)
-  UNION ALL SELECT doc_id, 1000000000, words FROM whole, longest WHERE len(words) <= 2 * n),
+parts AS (SELECT doc_id, i, regexp_extract_all(line, {TERM_SQL}) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line, unnest(range(len(string_split(low, chr(10))))) AS i FROM d)),
 pt AS (SELECT doc_id, i, term, (1 + ln(count(*))) AS f FROM (SELECT doc_id, i, unnest(words) AS term FROM parts) GROUP BY ALL),
 pw AS (SELECT doc_id, i, pt.term, f * coalesce(idf, (SELECT ln(n + 1) + 1 FROM n)) AS x FROM pt LEFT JOIN idf USING (term)),
 pn AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM pw GROUP BY ALL),
 s AS (SELECT doc_id, i, k, round(dot / (pn.norm * tn.norm), 9) AS score FROM (SELECT doc_id, i, k, sum(pw.x * tw.x) AS dot FROM pw JOIN tw USING (term) GROUP BY ALL) JOIN pn USING (doc_id, i) JOIN tn USING (k)),
-own AS (SELECT doc_id, name AS own_license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, k) AS r FROM s WHERE score >= {THRESHOLD}) JOIN t USING (k) WHERE r = 1),
+own AS (SELECT doc_id, name AS own_license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name IN ({WEAK_SQL}), score DESC, i, k) AS r FROM s JOIN t USING (k) WHERE score >= {THRESHOLD}) WHERE r = 1),
 f AS (SELECT doc_id, dir, dir || '/' || base AS path, base LIKE 'LICENSE%' AS gives, own_license, coalesce(score, 0) AS own_score FROM d LEFT JOIN own USING (doc_id)),
-g AS (SELECT dir AS above, doc_id AS from_id, own_license AS from_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, doc_id) AS r FROM f WHERE gives AND own_license IS NOT NULL) WHERE r = 1),
+g AS (SELECT dir AS above, doc_id AS from_id, own_license AS from_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_license IN ({WEAK_SQL}), own_score DESC, doc_id) AS r FROM f WHERE gives AND own_license IS NOT NULL) WHERE r = 1),
 near AS (SELECT doc_id, from_id, from_license FROM (SELECT doc_id, from_id, from_license, row_number() OVER (PARTITION BY doc_id ORDER BY length(above) DESC) AS r FROM f JOIN g ON f.dir = above OR starts_with(f.dir, above || '/')) WHERE r = 1)
 SELECT f.doc_id, path, own_license, round(own_score, 6) AS own_score, coalesce(own_license, from_license) AS license, CASE WHEN own_license IS NULL THEN from_id ELSE f.doc_id END AS license_from FROM f LEFT JOIN near USING (doc_id)
 """,
