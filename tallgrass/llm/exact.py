@@ -92,10 +92,12 @@ def best_of(keep: str, key: str) -> Column:
 def crossing(runs: DataFrame, keep: str, size: Column) -> DataFrame:
     """Of runs (id, part, run, text) that may go on elsewhere: (at_part, at_run, all_id, all_size, wins) of those that do.
 
-    Runs are put together by their whole texts."""
-    whole = runs.groupBy(F.col("text").alias("whole")).agg(best_of(keep, "id").alias("best"), F.sum(size).alias("all_size"), F.count("*").alias("runs")).where("runs > 1")
-    wins = (F.abs("best.part") == F.col("part")) & (F.abs("best.run") == F.col("run"))
-    return runs.join(whole, F.col("text") == F.col("whole")).select(F.col("part").alias("at_part"), F.col("run").alias("at_run"), F.col("best.id").alias("all_id"), "all_size", wins.alias("wins"))
+    Runs are put together by their whole texts, combined before the shuffle. A text has a run for each range at most, or for HELD rows."""
+    members = F.collect_list(F.struct("part", "run")).alias("members")
+    whole = runs.groupBy("text").agg(best_of(keep, "id").alias("best"), F.sum(size).alias("all_size"), members).where(F.size("members") > 1)
+    each = whole.select("best", "all_size", F.explode("members").alias("at"))
+    wins = (F.abs("best.part") == F.col("at.part")) & (F.abs("best.run") == F.col("at.run"))
+    return each.select(F.col("at.part").alias("at_part"), F.col("at.run").alias("at_run"), F.col("best.id").alias("all_id"), "all_size", wins.alias("wins"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", also: tuple[str, ...] = (), fold: Fold = fold_case) -> DataFrame:
