@@ -30,8 +30,8 @@ CHUNK = 1 << 20
 KNOWN = 1 << 17
 #: Words that have a short code, and bytes of text that are sampled to choose them. Which words have one only changes sizes.
 CODES, CODE_SAMPLE = 50_000, 64 << 20
-#: Candidates that are sampled for very common windows, and what share of them makes one.
-HOT_SAMPLE, HOT_SHARE = 400_000, 2000
+#: Candidates that are sampled for very common windows, what share of them makes one, and over how many groups its rows are dealt.
+HOT_SAMPLE, HOT_SHARE, SALTS = 400_000, 2000, 1024
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -330,17 +330,17 @@ def windows_of(rows: DataFrame, found: DataFrame, codes: dict[bytes, bytes], win
 def later_windows(found: DataFrame) -> DataFrame:
     """(id, key, place) of each window whose words are also those of a window with a smaller id. found: (code, id, key, place), stored.
 
-    Windows are grouped by their codes, once. Those that make up over 1 / HOT_SHARE of a sample take another way to the same result, a
-    minimum that is combined before its shuffle and a broadcast of it (HOT_SHARE rows at most): no task gets all their rows.
+    Windows are grouped by their codes, once. Those that make up over 1 / HOT_SHARE of a sample get their least id by another way to the
+    same result, a minimum that is combined before its shuffle and broadcast (HOT_SHARE rows at most), and are dealt by a salt: no task gets
+    all their rows.
     """
     n = found.count()
     sample = found.select("code") if n <= HOT_SAMPLE else found.select("code").where(F.rand(3) < HOT_SAMPLE / n)
-    hot = F.broadcast(cut(sample.groupBy("code").count().where(F.col("count") > max(1, min(n, HOT_SAMPLE) // HOT_SHARE)).select("code")))
-    common = found.join(hot, "code", "left_semi")
-    least = common.groupBy("code").agg(F.min("id").alias("least"))
-    of_common = common.join(F.broadcast(least), "code").where("id > least")
-    others = found.join(hot, "code", "left_anti").withColumn("least", F.min("id").over(Window.partitionBy("code"))).where("id > least")
-    return of_common.select("id", "key", "place").unionAll(others.select("id", "key", "place"))
+    often = F.col("count") > max(1, min(n, HOT_SAMPLE) // HOT_SHARE)
+    hot = [F.lit(r["code"]) for r in sample.groupBy("code").count().where(often).select("code").collect()]
+    least = found.where(F.col("code").isin(hot) if hot else F.lit(False)).groupBy("code").agg(F.min("id").alias("common_least"))
+    known = found.join(F.broadcast(least), "code", "left").withColumn("salt", F.when(F.col("common_least").isNull(), 0).otherwise(F.pmod(F.xxhash64("key", "place"), F.lit(SALTS))))
+    return known.withColumn("least", F.coalesce("common_least", F.min("id").over(Window.partitionBy("code", "salt")))).where("id > least").select("id", "key", "place")
 
 
 def repeated(rows: DataFrame, window: int) -> DataFrame:
