@@ -309,7 +309,9 @@ def windows_of(rows: DataFrame, found: DataFrame, codes: dict[bytes, bytes], win
             suspected = batch.column("anchors").to_pylist()
             have = np.frombuffer(b"".join(suspected), dtype=np.uint32).astype(np.uint64) | np.repeat(np.arange(len(suspected), dtype=np.uint64) << np.uint64(32), [len(x) // 4 for x in suspected])
             text = w.text_of()
-            at = np.flatnonzero(np.isin(text.astype(np.uint64) << np.uint64(32) | (w.anchor & np.uint64(0xFFFFFFFF)), have))
+            asked = text.astype(np.uint64) << np.uint64(32) | (w.anchor & np.uint64(0xFFFFFFFF))
+            starts = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])[: len(asked)])  # neighbours mostly share their anchor
+            at = np.flatnonzero(np.repeat(np.isin(asked[starts], have), np.diff(np.append(starts, len(asked)))))
             text, place = text[at], runs_of(w.many)[at]
             ends = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)) if len(text) else []
             begin, out = 0, []
