@@ -102,7 +102,8 @@ def sent_rows(anchor: np.ndarray, doc: np.ndarray, keys: np.ndarray, shards: int
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(np.append(starts, len(anchor)))
     often = np.repeat(sizes > 1, sizes)
-    shard_of = lambda a: ((a >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    # anchors are least hashes, so that they lie low; their hashes don't
+    shard_of = lambda a: ((mixed(a) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
     def ends_of(sorted_values: np.ndarray) -> np.ndarray:
         return np.append(np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, len(sorted_values))
