@@ -53,11 +53,36 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.lit(1) + newlines(F.substring(text, F.lit(1), offset))
 
 
-def lines_of(parts: Column) -> Column:
-    """The line on which each part begins; the newlines of the parts are added up in one pass."""
-    start = F.struct(F.array().cast("array<int>").alias("lines"), F.lit(1).alias("now"))
-    step = lambda acc, n: F.struct(F.concat(acc["lines"], F.array(acc["now"])).alias("lines"), (acc["now"] + n).alias("now"))
-    return F.aggregate(F.transform(parts, newlines), start, step)["lines"]
+#: Parts whose newlines are added up together. Appending to an array copies it, so that long arrays are added up block by block.
+BLOCK = 128
+
+
+def running(numbers: Column, start: Column) -> Column:
+    """start, and start plus each of the leading sums but the last: quadratic, for short arrays."""
+    first = F.struct(F.array().cast("array<int>").alias("sums"), start.alias("now"))
+    step = lambda acc, n: F.struct(F.concat(acc["sums"], F.array(acc["now"])).alias("sums"), (acc["now"] + n).alias("now"))
+    return F.aggregate(numbers, first, step)["sums"]
+
+
+def summed(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
+def lines_of(counts: Column) -> Column:
+    """The line on which each part begins, from the parts' newlines. Blocks of blocks of parts are added up, each on its own, so that a file of any number of
+    imports takes time in proportion to them."""
+
+    def blocks(numbers: Column, size: int) -> Column:
+        count = F.floor((F.size(numbers) + (size - 1)) / size).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.slice(numbers, (k - 1) * size + 1, size))
+
+    def added(numbers: Column, start: Column, sizes: tuple[int, ...]) -> Column:
+        if not sizes:
+            return running(numbers, start)
+        cut = blocks(numbers, sizes[0])
+        return F.flatten(F.zip_with(cut, running(F.transform(cut, summed), start), lambda x, at: added(x, at, sizes[1:])))
+
+    return F.when(F.size(counts) <= BLOCK, running(counts, F.lit(1))).otherwise(added(counts, F.lit(1), (BLOCK * BLOCK, BLOCK)))
 
 
 def specifier_type(statement: Column) -> Column:
@@ -79,7 +104,8 @@ def extract_imports(files: DataFrame, content: str = "content") -> DataFrame:
     stripped = files.select(*others, strip_comments(F.col(content)).alias("_code"))
     # each pattern runs once over a file that can have it; its parts are held in columns, as the lambda below would cut again for each match
     found = stripped.select(*others, *(F.when(needed, cut_out(code, p)).otherwise(F.array().cast(NONE)).alias(f"_f{n}") for n, (p, needed) in passes.items()))
-    placed = found.select("*", *(lines_of(F.col(f"_f{n}")).alias(f"_l{n}") for n in passes))
+    counted = found.select("*", *(F.transform(f"_f{n}", newlines).alias(f"_n{n}") for n in passes))
+    placed = counted.select(*found.columns, *(lines_of(F.col(f"_n{n}")).alias(f"_l{n}") for n in passes))
 
     def matches(n: int) -> Column:
         every = F.transform(f"_f{n}", lambda m, i: F.when(i % 2 == 1, F.struct(F.lit(n).alias("pass"), F.floor(i / 2).cast("int").alias("match_seq"), F.get(F.col(f"_l{n}"), i).alias("line"), m.alias("statement"))))

@@ -148,3 +148,15 @@ def test_random_sources_keep_invariants(spark):
     found = extract_imports(spark.createDataFrame(rows, "i int, content string")).collect()
     lines = {i: s.count("\n") + 1 for i, s in rows}
     assert found and all(0 < x["line"] <= lines[x["i"]] and x["package"] and x["import_type"] in (R, T) for x in found)
+
+
+def test_lines_of_very_many_imports(spark):
+    """Lines are added up block by block: over the borders of blocks, and blocks of blocks, none is lost."""
+    n = 20_000
+    text = "\n".join(f"import 'p{i % 7}'" + "\n" * (i % 3) for i in range(n))
+    rows = extract_imports(spark.createDataFrame([(1, text)], "id int, content string")).orderBy("match_seq").select("line").collect()
+    want, line = [], 1
+    for i in range(n):
+        want.append(line)
+        line += 1 + i % 3
+    assert [r["line"] for r in rows] == want
