@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from .operators.audit import Options
-from .report import HELP, error_message, exit_code, json_report, text_report
+from .report import HELP, NO_OPTION, NO_VALUE, error_message, exit_code, json_report, text_report
 from .sources.files import read_json
 from .sources.manifests import NOT_AN_OBJECT
 
@@ -42,11 +42,11 @@ def parse_options(args: Sequence[str]) -> CliOptions:
         elif arg in LISTS:
             flag, name = LISTS[arg]
             if not rest or rest[0].startswith("-"):
-                out.warnings.append(f"{flag} requires a value but none was provided; flag ignored.")
+                out.warnings.append(NO_VALUE.format(flag=flag))
             else:
                 getattr(out, name).extend(x for x in map(str.strip, rest.pop(0).split(",")) if x)
         elif arg.startswith("-"):
-            out.warnings.append(f"Unknown option {arg} ignored. Run with --help to see supported flags.")
+            out.warnings.append(NO_OPTION.format(arg=arg))
     return out
 
 
@@ -66,11 +66,11 @@ def main(args: Sequence[str] | None = None, root: str = ".") -> int:
         return 1
     from pyspark.sql import SparkSession
 
-    from .plans.projects import audit_projects
+    from .plans.projects import project_audit
 
     spark = SparkSession.builder.appName("tallgrass").getOrCreate()
-    row = audit_projects(spark, {"project": root}, Options(options.check_all, options.check_peer, tuple(options.ignored)), options.exclude, not options.no_auto_detect).first()
-    result = row.asDict(recursive=True)
+    with project_audit(spark, {"project": root}, Options(options.check_all, options.check_peer, tuple(options.ignored)), options.exclude, not options.no_auto_detect) as report:
+        result = report.first().asDict(recursive=True)
     print(json_report(result, options.ignored) if options.format == "json" else text_report(result, options.ignored, root))
     return exit_code(result)
 

@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.imports import extract_imports
 from ..operators.audit import Options, audit
-from ..sources.files import read_files, source_files
+from ..sources.files import read_files, roots_table, source_files
 from ..sources.manifests import declared_packages, parse_manifests
 
 
-def read_manifests(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
-    """Parsed manifests of projects (id to root), with the error of those that can't be read or aren't objects."""
-    rows = [(k, os.path.join(r, "package.json")) for k, r in roots.items()]
-    read = read_files(spark.createDataFrame(rows, "project_id string, path string"))
+def read_manifests(spark: SparkSession, roots: Mapping[str, str] | DataFrame) -> DataFrame:
+    """Parsed manifests of projects (id to root, or a table of both), with the error of those that can't be read or aren't objects."""
+    read = read_files(roots_table(spark, roots).select("project_id", F.concat(F.regexp_replace("root", "(?<=.)/+$", ""), F.lit("/package.json")).alias("path")))
     parsed = parse_manifests(read.where("error is null").withColumnRenamed("content", "raw"))
     failed = read.where("error is not null").select("project_id", "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.array().cast(parsed.schema["declared"].dataType).alias("declared"), "error")
     return parsed.unionByName(failed)
 
 
-def project_imports(spark: SparkSession, roots: Mapping[str, str], exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
+def project_imports(spark: SparkSession, roots: Mapping[str, str] | DataFrame, exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
     """Imports of all files of the projects; file is the absolute path."""
-    files = source_files(spark, dict(roots), exclude, auto_detect, path_mode).select("project_id", F.col("path").alias("file"), "content")
+    files = source_files(spark, roots, exclude, auto_detect, path_mode).select("project_id", F.col("path").alias("file"), "content")
     return extract_imports(files)
 
 
-def audit_projects(spark: SparkSession, roots: Mapping[str, str], options: Options = Options(), exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
-    """One report row per project with a readable manifest. The imports, which the audit reads twice, are kept, on
-    disk where memory runs out; the caller may unpersist them with spark.catalog.clearCache()."""
+def audit_projects(spark: SparkSession, roots: Mapping[str, str] | DataFrame, options: Options = Options(), exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
+    """One report row per project with a readable manifest. Nothing is kept: files are scanned once for usage and once for
+    locations. project_audit keeps them in between."""
+    manifests = read_manifests(spark, roots).where("error is null")
+    return audit(manifests, declared_packages(manifests), project_imports(spark, roots, exclude, auto_detect, path_mode), options)
+
+
+@contextmanager
+def project_audit(spark: SparkSession, roots: Mapping[str, str] | DataFrame, options: Options = Options(), exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> Iterator[DataFrame]:
+    """The same report for use within the context: manifests and imports are kept, on disk where memory runs out, and released at its end."""
     manifests = read_manifests(spark, roots).where("error is null").persist()
     imports = project_imports(spark, roots, exclude, auto_detect, path_mode).persist()
-    return audit(manifests, declared_packages(manifests), imports, options)
+    try:
+        yield audit(manifests, declared_packages(manifests), imports, options)
+    finally:
+        manifests.unpersist()
+        imports.unpersist()

@@ -6,44 +6,59 @@ in Spark and in SQL. For extraction, SQL gives the statements that the texts wer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cli import parse_options
 from .functions.imports import extract_imports, js_trim, line_at, strip_comments
 from .functions.names import builtin, package_root
 from .functions.paths import admitted, basename, excluded, extension, globs_regex, in_build_like_directory, production_config
 from .operators.audit import Options, all_dependencies, audit, buckets, first_at_line, judged, misplaced_locations, production_dependencies, total_issues, usage, with_locations
+from .plans.projects import audit_projects
+from .report import CLEAN, COLORS, MISPLACED, NO_OPTION, NO_VALUE, NOTE, RULE, TITLE, TOTAL, TYPES, UNUSED, UNUSED_PEER, WARNING, rendered
+from .report import IGNORED as IGNORED_WORDS
 from .rules import BUILTINS, STATIC_GLOBS
+from .sources.files import list_files, read_files, scratch, write_files
 from .sources.manifests import declared_packages, parse_manifests
 
-IGNORED = ("pkg-7", "pkg-8", "pkg-100", "pkg-101", "pkg-102")
+IGNORED = ("lone-5", "pkg-8", "lone-101", "lone-105", "pkg-102")
+#: Packages of a project: the number of projects grows with the table.
+EACH = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def project(key: str) -> Column:
+    return F.concat(F.lit("P"), F.floor(F.col(key) / EACH))
+
+
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package for each part. A quarter of them have names that no line of lineitem imports."""
     key = F.col("p_partkey")
     category = F.when(key % 3 == 0, "dependencies").when(key % 3 == 1, "devDependencies").otherwise("peerDependencies")
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), key % 20).alias("project_id"), category.alias("category"), key.cast("int").alias("ord"), F.concat(F.lit("pkg-"), key).alias("package"))
+    return table(spark, sf_dir, "part").select(project("p_partkey").alias("project_id"), category.alias("category"), key.cast("int").alias("ord"), F.concat(F.when(key % 4 == 1, "lone-").otherwise("pkg-"), key).alias("package"))
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 48")
+    """An import for each line of lineitem. A fifth of the packages is imported for types only."""
+    rows = table(spark, sf_dir, "lineitem")
     file = F.when(F.col("l_orderkey") % 10 == 0, "/vite.config.ts").otherwise(F.concat(F.lit("/src/m"), "l_orderkey", F.lit(".ts")))
+    runtime = (F.col("l_linestatus") == "F") & (F.col("l_partkey") % 5 != 2)
     return rows.select(
-        F.concat(F.lit("P"), F.col("l_partkey") % 20).alias("project_id"), F.concat(F.lit("pkg-"), "l_partkey").alias("package"), F.when(F.col("l_linestatus") == "F", "runtime").otherwise("type-only").alias("import_type"),
+        project("l_partkey").alias("project_id"), F.concat(F.lit("pkg-"), "l_partkey").alias("package"), F.when(runtime, "runtime").otherwise("type-only").alias("import_type"),
         file.alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.concat(F.lit("import "), "l_suppkey", F.lit(" from 'pkg-"), "l_partkey", F.lit("'")).alias("import_statement"),
         F.struct("l_orderkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pass"), F.lit(0).alias("match_seq"),
     )
 
 
-DECLARED_SQL = """declared AS (SELECT 'P' || (p_partkey % 20) AS project_id, 'pkg-' || p_partkey AS package, p_partkey::INT AS ord,
+DECLARED_SQL = f"""declared AS (SELECT 'P' || (p_partkey // {EACH}) AS project_id, CASE WHEN p_partkey % 4 = 1 THEN 'lone-' ELSE 'pkg-' END || p_partkey AS package, p_partkey::INT AS ord,
   CASE p_partkey % 3 WHEN 0 THEN 'dependencies' WHEN 1 THEN 'devDependencies' ELSE 'peerDependencies' END AS category FROM part)"""
-IMPORTS_SQL = """imports AS (SELECT 'P' || (l_partkey % 20) AS project_id, 'pkg-' || l_partkey AS package, CASE WHEN l_linestatus = 'F' THEN 'runtime' ELSE 'type-only' END AS import_type,
+IMPORTS_SQL = f"""imports AS (SELECT 'P' || (l_partkey // {EACH}) AS project_id, 'pkg-' || l_partkey AS package, CASE WHEN l_linestatus = 'F' AND l_partkey % 5 <> 2 THEN 'runtime' ELSE 'type-only' END AS import_type,
   CASE WHEN l_orderkey % 10 = 0 THEN '/vite.config.ts' ELSE '/src/m' || l_orderkey || '.ts' END AS file, l_linenumber::INT AS line,
-  'import ' || l_suppkey || ' from ''pkg-' || l_partkey || '''' AS import_statement, l_orderkey, l_suppkey, l_extendedprice, l_shipdate FROM lineitem WHERE l_quantity >= 48)"""
+  'import ' || l_suppkey || ' from ''pkg-' || l_partkey || '''' AS import_statement, l_orderkey, l_suppkey, l_extendedprice, l_shipdate FROM lineitem)"""
 USAGE_SQL = "used AS (SELECT project_id, package, bool_or(import_type = 'runtime') AS has_runtime, bool_or(import_type <> 'runtime') AS has_type_only FROM imports GROUP BY ALL)"
 PLACES_SQL = """places AS (SELECT * EXCLUDE n FROM (SELECT i.*, d.ord, row_number() OVER (PARTITION BY i.project_id, i.package, file, line ORDER BY l_orderkey, l_suppkey, l_extendedprice, l_shipdate) AS n
   FROM imports i JOIN declared d USING (project_id, package) WHERE category = 'devDependencies' AND import_type = 'runtime' AND NOT regexp_matches(file, '/(next|next-[^/]+|webpack|vite|rollup|postcss|tailwind|esbuild)\\.config\\.(js|ts|mjs|cjs)$')) WHERE n = 1)"""
@@ -200,13 +215,35 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_imports_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_imports(sources(spark, sf_dir)).select("id", "package", "import_type", F.col("line").cast("long").alias("line"))
+    """Everything that is known of an import: its statement, the pass that found it, and its number among that pass's matches."""
+    found = extract_imports(sources(spark, sf_dir))
+    return found.select("id", "package", "import_type", F.col("line").cast("long").alias("line"), "import_statement", F.col("pass").cast("long").alias("found_in"), F.col("match_seq").cast("long").alias("match_seq"))
 
 
 def strip_comments_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("id", strip_comments(F.col("content")).alias("code"))
 
 
+#: Of each kind: the pass that keeps it, its statement, and how many matches the three passes have in it.
+MATCHES = {
+    0: (1, "'import { a' || s || ' } from ''pkg-' || p || '/deep'''", (1, 0, 1)),
+    1: (2, "'import type { T' || s || ' } from \"pkg-' || p || '\"'", (0, 1, 0)),
+    2: (1, "'require( ''@s' || s || '/pkg-' || p || '/x'' )'", (1, 0, 0)),
+    3: (3, "'import { type T' || s || ' } from ''pkg-' || p || ''''", (0, 0, 1)),
+    6: (1, "'import d, { type T } from ''pkg-' || p || ''''", (1, 0, 0)),
+    7: (1, "'import ''pkg-' || p || '/style.css'''", (1, 0, 0)),
+    8: (0, "NULL", (2, 0, 0)),
+}
+
+
+def match_sql(value) -> str:
+    return f"CASE p % 10 {' '.join(f'WHEN {k} THEN {value(x)}' for k, x in MATCHES.items())} ELSE 0 END"
+
+
+EXTRACT_SQL = f"""WITH l AS ({LINES}), n AS (SELECT *, {", ".join(f"{match_sql(lambda x, k=k: x[2][k])} AS n{k + 1}" for k in range(3))}, {match_sql(lambda x: x[0])} AS found_in FROM l),
+  q AS (SELECT *, {", ".join(f"coalesce(sum(n{k}) OVER o, 0) AS s{k}" for k in (1, 2, 3))} FROM n WINDOW o AS (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT id, {case_sql(1)} AS package, {case_sql(2)} AS import_type, line, CASE p % 10 {" ".join(f"WHEN {k} THEN {x[1]}" for k, x in MATCHES.items())} END AS import_statement, found_in::BIGINT AS found_in,
+  (CASE found_in WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END)::BIGINT AS match_seq FROM q WHERE package IS NOT NULL"""
 STRIPPED = [x[0] for x in KINDS]
 STRIPPED[4], STRIPPED[5], STRIPPED[6] = "''", "' let x = ' || s || ';'", KINDS[6][0].removesuffix("// tail'") + "'"
 
@@ -240,6 +277,144 @@ o AS (SELECT b.*, ord FROM b JOIN declared USING (project_id, package)), p AS (S
 SELECT p.project_id, {', '.join(f"coalesce(string_agg(shown, ' ' ORDER BY ord) FILTER (bucket = '{c}'), '') AS {a}" for c, a in (("unused", "unused"), ("unusedPeer", "unused_peer"), ("typeOnly", "type_only"), ("misplaced", "misplaced")))}, count(shown) AS total_issues
 FROM p LEFT JOIN o USING (project_id) GROUP BY p.project_id"""
 
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of each project: as JSON, as text with colours, and the exit code."""
+    d = declared(spark, sf_dir)
+    return rendered(audit(d.select("project_id"), d, imports(spark, sf_dir), Options(check_peer=True, ignored=IGNORED)), root="/")
+
+
+def inked(sql: str, color: str) -> str:
+    """SQL of a coloured text; sql is an expression."""
+    return f"(chr(27) || '[{COLORS[color]}m' || {sql} || chr(27) || '[0m')"
+
+
+def ink(text: str, color: str) -> str:
+    return inked(f"'{text}'", color)
+
+
+def heading_sql(mark: str, color: str, words: tuple[str, str]) -> str:
+    return f"chr(10) || chr(10) || {ink(mark, color)} || '  ' || {ink(words[0], color)} || chr(10) || '  ' || {ink(words[1], 'gray')} || chr(10) || chr(10)"
+
+
+def names_sql(bucket: str) -> str:
+    """The names of a bucket as lines of JSON and of text."""
+    mark = ink("○", "blue") if bucket == "typeOnly" else ink("•", "yellow")
+    only = f"ORDER BY ord) FILTER (bucket = '{bucket}')"
+    return f"""string_agg('    "' || package || '"', ',' || chr(10) {only} AS j_{bucket}, string_agg('  ' || {mark} || ' ' || package, chr(10) {only} AS t_{bucket}"""
+
+
+LISTED = ("unused", "unusedPeer", "misplaced", "typeOnly")
+IGNORED_SQL = ", ".join(f"'{x}'" for x in IGNORED)
+RULE_SQL = ink(RULE, "gray")
+IN_ORDER = "ORDER BY file, l_orderkey, l_suppkey, l_extendedprice, l_shipdate"
+DOCUMENTS_SQL = f"""{BASE_SQL}, b AS (SELECT * FROM ({' UNION ALL '.join(x for x in MODE_SQL['check_peer'] if 'misplaced' not in x)}) WHERE package NOT IN ({IGNORED_SQL})),
+o AS (SELECT b.*, ord FROM b JOIN declared USING (project_id, package)),
+w AS (SELECT project_id, package, ord, count(*) AS n,
+    string_agg('        {{' || chr(10) || '          "file": "' || file || '",' || chr(10) || '          "line": ' || line || ',' || chr(10) || '          "importStatement": "' || import_statement || '"' || chr(10) || '        }}', ',' || chr(10) {IN_ORDER}) AS locations,
+    string_agg('    └─ ' || ltrim(file, '/') || ':' || line || chr(10) || '       ' || {inked("import_statement", "gray")}, chr(10) {IN_ORDER}) AS shown
+  FROM places WHERE package NOT IN ({IGNORED_SQL}) GROUP BY ALL),
+m AS (SELECT project_id, count(*) AS n, string_agg('    {{' || chr(10) || '      "packageName": "' || package || '",' || chr(10) || '      "locations": [' || chr(10) || locations || chr(10) || '      ]' || chr(10) || '    }}', ',' || chr(10) ORDER BY ord) AS j_misplaced,
+    string_agg('  ' || {ink("•", "yellow")} || ' ' || package || ' ' || {inked("'(used in ' || n || ' file' || CASE WHEN n = 1 THEN '' ELSE 's' END || ')'", "gray")} || chr(10) || shown, chr(10) ORDER BY ord) AS t_misplaced FROM w GROUP BY project_id),
+g AS (SELECT p.project_id, count(package) AS n, {', '.join(names_sql(c) for c in LISTED if c != 'misplaced')}
+  FROM (SELECT DISTINCT project_id FROM declared) p LEFT JOIN o USING (project_id) GROUP BY p.project_id),
+r AS (SELECT g.*, j_misplaced, t_misplaced, g.n + coalesce(m.n, 0) AS total FROM g LEFT JOIN m USING (project_id)),
+x AS (SELECT *, {', '.join(f"CASE WHEN j_{c} IS NULL THEN '[]' ELSE '[' || chr(10) || j_{c} || chr(10) || '  ]' END AS a_{c}" for c in LISTED)} FROM r)
+SELECT project_id, (total > 0)::INT AS exit_code,
+  '{{' || chr(10) || {" || ',' || chr(10) || ".join(f"'  ' || chr(34) || '{c}' || chr(34) || ': ' || a_{c}" for c in LISTED)} || ',' || chr(10) || '  "ignored": [' || chr(10) || {" || ',' || chr(10) || ".join(f"'    ' || chr(34) || '{x}' || chr(34)" for x in IGNORED)} || chr(10) || '  ],' || chr(10) || '  "totalIssues": ' || total || chr(10) || '}}' AS json_report,
+  chr(10) || {RULE_SQL} || chr(10) || '  ' || {ink(TITLE, "cyan")} || chr(10) || {RULE_SQL} || chr(10) || chr(10) || '{NOTE}  {IGNORED_WORDS} ' || {ink(", ".join(IGNORED), "cyan")} ||
+  CASE WHEN total = 0 THEN chr(10) || {RULE_SQL} || chr(10) || chr(10) || '  ' || {ink(CLEAN, "green")} || chr(10) || chr(10) || {RULE_SQL}
+  ELSE {" || ".join(f"coalesce({heading_sql(mark, color, words)} || t_{c}, '')" for c, mark, color, words in (("unused", WARNING, "yellow", UNUSED), ("unusedPeer", WARNING, "yellow", UNUSED_PEER), ("misplaced", WARNING, "yellow", MISPLACED), ("typeOnly", NOTE, "blue", TYPES)))}
+    || chr(10) || chr(10) || {RULE_SQL} || chr(10) || '  {TOTAL} ' || {inked("total", "yellow")} || chr(10) || {RULE_SQL} END AS text_report
+FROM x"""
+
+#: One file for each order, in a tree of its own for each thousand; k is the order, c its customer.
+TREE = {
+    0: "'src/a' || k || '.ts'", 1: "'src/a' || k || '.d.ts'", 2: "'src/test/a' || k || '.ts'", 3: "'pages/_p' || k || '.tsx'", 4: "'packages/x' || k || '/dist/b.js'", 5: "'packages/x' || k || '/dist/vite.config.js'", 6: "'dist/x' || k || '.js'",
+    7: "'site-static/x' || k || '.js'", 8: "'lib/' || k || '.test.ts'", 9: "'lib/read' || k || '.md'", 10: "'custom-out/x' || k || '.js'", 11: "'made/x' || k || '.mjs'", 12: "'.hidden/x' || k || '.ts'", 13: "'own/x' || k || '.ts'", 14: "'lib/deep/er/x' || k || '.cjs'", 15: "'next-x' || k || '.config.mjs'",
+}
+#: Those that a scan takes.
+TAKEN = (0, 3, 5, 14, 15)
+TREE_PATH = f"CASE k % 16 {' '.join(f'WHEN {i} THEN {x}' for i, x in TREE.items())} END"
+TREE_TEXT = "'import a from ''pkg-' || c || '''; import type { T } from ''types-' || (k % 7) || ''';'"
+TREE_SQL = f"SELECT 'T' || (k // 1000) AS project_id, k, {TREE_PATH} AS rel_path, {TREE_TEXT} AS content FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
+OWN_GLOBS = ("own/**",)
+
+
+def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(project_id, root) of trees of files on disk, each with a manifest and a tsconfig.json, and their files; written by the executors."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c")
+    project_id = F.concat(F.lit("T"), F.floor(F.col("k") / 1000))
+    files = orders.select(project_id.alias("project_id"), "k", F.expr(TREE_PATH).alias("rel_path"), F.expr(TREE_TEXT).alias("content"))
+    files = files.withColumn("root", F.concat(F.lit(f"{scratch(spark)}/"), "project_id"))
+    roots = files.select("project_id", "root").distinct()
+    sections = F.create_map(*(F.lit(x) for name in ("never", "pkg-1", "types-1") for x in (name, "1")))
+    manifest = F.to_json(F.struct(F.col("project_id").alias("name"), F.struct(F.lit("tsc --outDir made").alias("build")).alias("scripts"), sections.alias("dependencies")))
+    config = F.lit('{"compilerOptions": {"outDir": "custom-out"}}')
+    more = [roots.select(F.concat("root", F.lit(f"/{name}")).alias("path"), text.alias("content")) for name, text in (("package.json", manifest), ("tsconfig.json", config))]
+    write_files(files.select(F.concat("root", F.lit("/"), "rel_path").alias("path"), "content").unionAll(more[0]).unionAll(more[1]))
+    return roots, files
+
+
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a scan of trees on disk takes."""
+    roots, _ = tree(spark, sf_dir)
+    return list_files(roots, OWN_GLOBS).select("project_id", "rel_path")
+
+
+def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of files, and the errors of those that aren't there."""
+    _, files = tree(spark, sf_dir)
+    asked = files.select("project_id", "rel_path", F.concat("root", F.when(F.col("k") % 16 == 9, "/gone/").otherwise("/"), "rel_path").alias("path"))
+    return read_files(asked).select("project_id", "rel_path", "content", F.col("error.type").alias("error"))
+
+
+def audit_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees audited whole: scan, manifests, extraction, joins, report."""
+    roots, _ = tree(spark, sf_dir)
+    out = audit_projects(spark, roots, exclude=OWN_GLOBS)
+    return out.select("project_id", F.array_join("unused", " ").alias("unused"), F.array_join("typeOnly", " ").alias("type_only"), F.col("totalIssues").cast("long").alias("total_issues"))
+
+
+SCAN_TREE_SQL = f"SELECT project_id, rel_path FROM ({TREE_SQL}) WHERE k % 16 IN {TAKEN}"
+READ_TREE_SQL = f"SELECT project_id, rel_path, CASE WHEN k % 16 <> 9 THEN content END AS content, CASE WHEN k % 16 = 9 THEN 'FILE_NOT_FOUND' END AS error FROM ({TREE_SQL})"
+AUDIT_TREE_SQL = f"""WITH f AS (SELECT *, k % 16 IN {TAKEN} AS taken FROM ({TREE_SQL})),
+p AS (SELECT project_id, bool_or(taken AND contains(content, '''pkg-1''')) AS one, bool_or(taken AND k % 7 = 1) AS typed FROM f GROUP BY project_id)
+SELECT project_id, 'never' || CASE WHEN one THEN '' ELSE ' pkg-1' END || CASE WHEN typed THEN '' ELSE ' types-1' END AS unused, CASE WHEN typed THEN 'types-1' ELSE '' END AS type_only, (2 + (NOT one)::INT)::BIGINT AS total_issues FROM p"""
+
+#: Command lines, one for each order; and what comes of them, lists joined by |.
+ARGUMENTS = {
+    0: "'--json'", 1: "'-j', '--text', '--all'", 2: "'--check-peer', '--ignore', 'a' || k || ', b,,c'", 3: "'-i', 'x', '-i', 'y' || k, '-e', 'custom/**, .cache/**'", 4: "'--ignore', '--json'", 5: "'--exclude'", 6: "'--what' || k, 'word'", 7: "'-h', '--no-auto-detect', '-p', '-a'",
+}
+OPTION_COLUMNS = "format string, check_all boolean, check_peer boolean, ignored string, exclude string, no_auto_detect boolean, show_help boolean, warnings string"
+OPTION_NAMES = [x.split()[0] for x in OPTION_COLUMNS.split(", ")]
+PARSED = {
+    0: ["'json'", "false", "false", "''", "''", "false", "false", "''"],
+    1: ["'text'", "true", "false", "''", "''", "false", "false", "''"],
+    2: ["'text'", "false", "true", "'a' || k || '|b|c'", "''", "false", "false", "''"],
+    3: ["'text'", "false", "false", "'x|y' || k", "'custom/**|.cache/**'", "false", "false", "''"],
+    4: ["'json'", "false", "false", "''", "''", "false", "false", f"'{NO_VALUE.format(flag='--ignore')}'"],
+    5: ["'text'", "false", "false", "''", "''", "false", "false", f"'{NO_VALUE.format(flag='--exclude')}'"],
+    6: ["'text'", "false", "false", "''", "''", "false", "false", "replace('" + NO_OPTION.format(arg="--whatK") + "', 'K', k::VARCHAR)"],
+    7: ["'text'", "true", "true", "''", "''", "true", "true", "''"],
+}
+
+
+def cli_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What command lines mean."""
+    kinds = " ".join(f"WHEN {i} THEN array({x})" for i, x in ARGUMENTS.items())
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("k AS id", f"CASE k % 8 {kinds} END AS args")
+
+    def run(batches):
+        for batch in batches:
+            found = [parse_options(list(x)) for x in batch["args"]]
+            columns = {c: [getattr(x, c) for x in found] for c in OPTION_NAMES}
+            yield pd.DataFrame({"id": batch["id"]} | {c: ["|".join(x) if isinstance(x, list) else x for x in v] for c, v in columns.items()})
+
+    return rows.mapInPandas(run, f"id long, {OPTION_COLUMNS}")
+
+
+CLI_SQL = f"""SELECT k AS id, {', '.join(f"CASE k % 8 {' '.join(f'WHEN {i} THEN {x[n]}' for i, x in PARSED.items())} END AS {c}" for n, c in enumerate(OPTION_NAMES))} FROM (SELECT o_orderkey AS k FROM orders)"""
+
 QUERIES = {
     "unused_default": bucket_query("default", "unused"),
     "unused_all": bucket_query("check_all", "unused"),
@@ -266,9 +441,13 @@ QUERIES = {
     "line_numbers": line_numbers,
     "manifest_keys": manifest_keys,
     "report_json": report_json,
+    "report_documents": report_documents,
+    "scan_tree": scan_tree,
+    "read_tree": read_tree,
+    "audit_tree": audit_tree,
+    "cli_options": cli_options,
 }
 
-IGNORED_SQL = ", ".join(f"'{x}'" for x in IGNORED)
 ORACLES = {
     "unused_default": f"{BASE_SQL} {union_sql('default', 'unused')}",
     "unused_all": f"{BASE_SQL} {union_sql('check_all', 'unused')}",
@@ -291,9 +470,14 @@ ORACLES = {
     "admit_file": ADMIT_SQL,
     "scanned_file": SCANNED_SQL,
     "strip_comments": f"WITH l AS ({LINES}), c AS (SELECT *, CASE p % 10 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(STRIPPED))} END AS code FROM l) SELECT id, string_agg(code, chr(10) ORDER BY line) AS code FROM c GROUP BY id",
-    "extract_imports": f"WITH l AS ({LINES}) SELECT id, {case_sql(1)} AS package, {case_sql(2)} AS import_type, line FROM l WHERE package IS NOT NULL",
+    "extract_imports": EXTRACT_SQL,
     "line_numbers": "SELECT doc_id, 1 + length(pre) - length(replace(pre, chr(10), '')) AS line, length(regexp_replace(regexp_replace(text, '^[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ''), '[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+$', '')) AS trimmed FROM (SELECT doc_id, text, substr(text, 1, length(text) // 2) AS pre FROM documents)",
     "manifest_keys": f"WITH {DECLARED_SQL} SELECT project_id, category, package, row_number() OVER (PARTITION BY project_id, category ORDER BY package) - 1 AS ord FROM declared",
     "report_json": REPORT_SQL,
+    "report_documents": DOCUMENTS_SQL,
+    "scan_tree": SCAN_TREE_SQL,
+    "read_tree": READ_TREE_SQL,
+    "audit_tree": AUDIT_TREE_SQL,
+    "cli_options": CLI_SQL,
 }
 

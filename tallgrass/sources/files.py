@@ -6,9 +6,13 @@ listed and files read by functions on the executors. The roots must be visible t
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
-from collections.abc import Iterator, Sequence
+import shutil
+import tempfile
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +22,8 @@ from ..functions.paths import admitted, globs_regex
 from ..rules import BUILD_SUFFIXES, STATIC_GLOBS
 from .manifests import parse_json
 
+#: Paths that are sent on together.
+LISTED = 4096
 ERROR = "error struct<type: string, path: string, message: string>"
 
 
@@ -59,12 +65,13 @@ def build_like(root: str) -> list[str]:
         return []
 
 
-def walk(root: str, ignored: re.Pattern) -> Iterator[str]:
-    """Relative paths of the files below root that no glob leaves out; nothing that begins with a dot."""
-    for folder, folders, names in os.walk(root):
+def walk(root: str, ignored: re.Pattern, top: str = "") -> Iterator[str]:
+    """Relative paths of the files in one directory at root and below it, or of those at root itself, that no glob leaves out; nothing
+    that begins with a dot."""
+    for folder, folders, names in os.walk(os.path.join(root, top)):
         rel = os.path.relpath(folder, root).replace(os.sep, "/")
         prefix = "" if rel == "." else f"{rel}/"
-        folders[:] = sorted(d for d in folders if not d.startswith(".") and not ignored.match(f"{prefix}{d}/x"))
+        folders[:] = sorted(d for d in folders if top and not d.startswith(".") and not ignored.match(f"{prefix}{d}/x"))
         for name in sorted(names):
             if not name.startswith(".") and not ignored.match(prefix + name):
                 yield prefix + name
@@ -74,19 +81,31 @@ def list_files(roots: DataFrame, exclude: Sequence[str] = (), auto_detect: bool
     """(project_id, path, rel_path) of every file to scan below each root of roots (project_id, root).
 
     Names are judged on their path from the root, so that where a checkout lies doesn't matter; path_mode="absolute"
-    judges the whole path.
+    judges the whole path. The directories at a root are dealt out and walked on their own, and paths are sent on in parts, so that
+    a large repository isn't one task's list.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for project, root in zip(batch["project_id"], batch["root"], strict=True):
                 own = build_globs(root) + build_like(root) if auto_detect else []
-                ignored = re.compile(globs_regex([*STATIC_GLOBS, *own, *exclude]).replace(r"\z", r"\Z"), re.DOTALL)
-                found = list(walk(root, ignored))
-                if found:
+                ignored = globs_regex([*STATIC_GLOBS, *own, *exclude]).replace(r"\z", r"\Z")
+                found = re.compile(ignored, re.DOTALL)
+                try:
+                    names = sorted(e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".") and not found.match(f"{e.name}/x"))
+                except OSError:
+                    names = []
+                yield pd.DataFrame({"project_id": project, "root": root, "top": ["", *names], "ignored": ignored})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for project, root, top, ignored in zip(batch["project_id"], batch["root"], batch["top"], batch["ignored"], strict=True):
+                files = walk(root, re.compile(ignored, re.DOTALL), top)
+                while found := list(islice(files, LISTED)):
                     yield pd.DataFrame({"project_id": project, "path": [os.path.join(os.path.abspath(root), x) for x in found], "rel_path": found})
 
-    listed = roots.select("project_id", "root").mapInPandas(run, "project_id string, path string, rel_path string")
+    begun = roots.select("project_id", "root").mapInPandas(tops, "project_id string, root string, top string, ignored string").repartition("project_id", "top")
+    listed = begun.mapInPandas(run, "project_id string, path string, rel_path string")
     return listed.where(admitted(F.col("path") if path_mode == "absolute" else F.concat(F.lit("/"), F.col("rel_path"))))
 
 
@@ -104,8 +123,45 @@ def read_files(paths: DataFrame) -> DataFrame:
     return paths.repartition("path").mapInPandas(run, f"{columns}, content string, {ERROR}")
 
 
-def source_files(spark: SparkSession, roots: dict[str, str], exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: below the session's checkpoint folder, or on this machine for a local master."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    if named.startswith(("file:", "/")):
+        base = "/" + named.removeprefix("file:").lstrip("/")
+        os.makedirs(base, exist_ok=True)
+    elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = None
+    else:
+        raise RuntimeError("files of projects need a folder that all executors see under one local path")
+    out = tempfile.mkdtemp(prefix="projects-", dir=base)
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    return out
+
+
+def write_files(files: DataFrame) -> None:
+    """Writes files (path, content), each by the task that has its row; a task that runs again writes the same."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
+def roots_table(spark: SparkSession, roots: Mapping[str, str] | DataFrame) -> DataFrame:
+    """(project_id, root): a table as it is, or one of a few projects given by name."""
+    if isinstance(roots, DataFrame):
+        return roots.select("project_id", "root")
+    return spark.createDataFrame(list(roots.items()), "project_id string, root string")
+
+
+def source_files(spark: SparkSession, roots: Mapping[str, str] | DataFrame, exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
     """(project_id, path, rel_path, content) of the files of each project; files that can't be read are left out."""
-    table = spark.createDataFrame(list(roots.items()), "project_id string, root string")
-    read = read_files(list_files(table.repartition("project_id"), exclude, auto_detect, path_mode))
+    read = read_files(list_files(roots_table(spark, roots).repartition("project_id"), exclude, auto_detect, path_mode))
     return read.where("error is null").drop("error")
