@@ -19,6 +19,7 @@ KEY, RANGES, EACH, SAMPLE = 4096, 3, 20, 20_000
 #: Rows of a run that are held at once; a longer run goes on as a new piece, put together like runs that cross partitions.
 HELD = 1 << 16
 
+#: fold_case, or bytes where texts are compared as they are.
 Fold = Callable[[bytes], bytes]
 
 
@@ -53,6 +54,12 @@ def splitters(rows: DataFrame, field: str, fold: Fold) -> list[tuple[bytes, byte
     return [found[len(found) * i // ranges] for i in range(1, ranges)]
 
 
+def normal(text: Column, fold: Fold) -> Column:
+    """The normalised bytes of a text, as fold makes them; null is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return (F.translate(whole, UPPER_AZ, LOWER_AZ) if fold is fold_case else whole).cast("binary")
+
+
 def content_sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: Column, fold: Fold) -> DataFrame:
     """(part, id, row): range partitions of the normalised bytes, each in order of them, the row that stays in front of its equals.
 
@@ -65,20 +72,17 @@ def content_sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = borders.value
         for batch in batches:
-            texts, parts, norms = as_bytes(batch.column("row").field(text_col)), [], []
-            for k, text in enumerate(texts):
-                norm = fold(text)
-                norms.append(norm if norm != text else None)
-                key = sort_key(norm)
+            parts = []
+            for k, text in enumerate(as_bytes(batch.column("row").field(text_col))):
+                key = sort_key(fold(text))
                 low = bisect_left(known, key)
                 same = bisect_right(known, key, low) - low
                 parts.append(low + zlib.crc32(repr(batch.column("id")[k].as_py()).encode()) % same if same > 1 else low)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column("id"), pa.array(norms, pa.binary()), batch.column("row")], names=["part", "id", "norm", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column("id"), batch.column("row")], names=["part", "id", "row"])
 
-    # norm is null where the text is its own normal form, so that texts are shuffled twice only where they have capitals
-    kind = f"part int, id {rows.schema['id'].dataType.simpleString()}, norm binary, row {rows.schema['row'].dataType.simpleString()}"
-    dealt = arrow_map(rows, deal, kind).repartition("part")
-    whole = dealt.withColumn("norm", F.coalesce("norm", F.coalesce(F.col("row").getField(text_col), F.lit("")).cast("binary")))
+    # texts are normalised again behind the shuffle, so that each is sent once
+    kind = f"part int, id {rows.schema['id'].dataType.simpleString()}, row {rows.schema['row'].dataType.simpleString()}"
+    whole = arrow_map(rows, deal, kind).repartition("part").withColumn("norm", normal(F.col("row").getField(text_col), fold))
     return whole.sortWithinPartitions("part", "norm", F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last())
 
 
@@ -185,8 +189,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = stored(arrow_map(rows, heads, f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, part int, sha binary, run int, front boolean"))
     # the row in front of a range may go on with a run of the range before: only contents that are in front somewhere can cross
     fronts = slim.where("front").select("sha").distinct()
-    norm = F.translate(F.coalesce(F.col("row").getField(text_col), F.lit("")), UPPER_AZ, LOWER_AZ).cast("binary")
-    runs = slim.join(F.broadcast(fronts), "sha", "left_semi").select("id", "part", "run", norm.alias("text"))
+    runs = slim.join(F.broadcast(fronts), "sha", "left_semi").select("id", "part", "run", normal(F.col("row").getField(text_col), fold_case).alias("text"))
     losers = crossing(runs, keep, F.lit(1)).where("not wins").select("at_part", "at_run")
     return slim.join(F.broadcast(losers), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left_anti").select("row.*")
 
