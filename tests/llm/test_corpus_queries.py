@@ -67,3 +67,16 @@ def test_pipeline(spark):
     packed = steps["best-fit packing"](spark, cut, str(DATA))
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, pack(cut).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, str(DATA)).collect()))
     spark.catalog.clearCache()
+
+
+def test_pipeline_of_odd_tables(spark):
+    """An empty table, and one of null, empty, repeated and very long texts, pass every stage."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = docs.limit(3).unionAll(docs.limit(1)).unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, " ".join(f"w{i}" for i in range(50_000)), "en", "s", 1)], docs.schema))
+    for table in (docs.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            kept = table
+            table = stage(spark, kept, str(DATA)).cache()
+            assert name == "best-fit packing" or table.columns == docs.columns
+        assert table.count() == 0 or table.where("doc_id = -2").agg({"length": "sum"}).first()[0] == 50_000
+    spark.catalog.clearCache()

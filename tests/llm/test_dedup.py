@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallgrass.llm import common, simhash, substring
 from tallgrass.llm.common import connected_components, forest
@@ -305,3 +306,35 @@ def test_exact_of_odd_tables(spark, monkeypatch):
     got = exact_groups(docs_of(spark, rows), keep="smallest").collect()
     assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, ids[0], len(ids), i == ids[0]) for ids in groups.values() for i in ids} and len(got) == 600
     assert sorted(r["doc_id"] for r in drop_exact(docs_of(spark, rows)).collect()) == sorted(ids[0] for ids in groups.values())
+
+
+def test_empty_tables_and_long_texts(spark):
+    """Operators that return whole rows: nothing of an empty table; a very long text and repeated rows beside short ones; a clashing name."""
+    r = random.Random(21)
+    long = " ".join("".join(r.choices("abcdefghijkl", k=6)) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long, "s"), (2, "short one", "s"), (2, "short one", "s"), (3, None, None), (4, "", "s")], "doc_id long, text string, source string").selectExpr("*", "1 AS gone", "2 AS PLACES")
+    empty = docs.limit(0)
+    for run in (drop_near, drop_boilerplate, drop_repeated, drop_exact):
+        assert run(empty).count() == 0 and run(empty).columns == docs.columns
+    assert sorted(x["doc_id"] for x in drop_near(docs).collect()) == [1, 2, 2, 3]
+    assert sorted(x["doc_id"] for x in drop_repeated(docs).collect()) == [1, 2, 2, 3, 4]
+    assert sorted(x["doc_id"] for x in drop_boilerplate(docs).collect()) == [1, 2, 2, 3, 4]
+    assert {x["doc_id"]: x["text"] for x in drop_repeated(docs).collect()}[1] == long
+
+
+def test_lines_on_thousands_of_sites(spark):
+    """Sketches past their exact mode: lines on 990 to 1,010 sites against a threshold of 1,000, and lines far from it."""
+    spread = {"few": 300, "under": 990, "just under": 999, "at": 1000, "over": 1001, "more": 1010, "everywhere": 3000}
+    rows = [(i, "\n".join([f"own {i}", *(k for k, n in spread.items() if i < n)]), f"site{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    gone = {k for k, n in spread.items() if n >= 1000}
+    for x in drop_boilerplate(docs, min_sites=1000).where("doc_id in (0, 5, 995, 1005, 2000)").collect():
+        assert x["text"] == "\n".join([f"own {x['doc_id']}", *(k for k, n in spread.items() if x["doc_id"] < n and k not in gone)])
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
+    rows = spark.range(10).selectExpr("id", "array_repeat(1, 100) AS found")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(common.checked_small(rows, held=F.size("found")))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 500)
+    assert hinted(common.checked_small(rows)) and not hinted(common.checked_small(rows, held=F.size("found")))

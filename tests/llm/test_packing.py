@@ -1,7 +1,7 @@
 """Best fit under conflicts: invariants, and bins against a plain search."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from tallgrass.llm.packing import best_fit, pack
 
@@ -60,3 +60,15 @@ def test_rows(spark):
         assert len(set(sources)) == len(sources) and len(set(texts)) == len(texts)
     assert len({x["bin_group"] for x in out}) > 1
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_spread(spark):
+    """Rows of one (null) id and one text don't meet in one group, whatever their number; very long texts and empty tables."""
+    rows = [(None, "same words here", "s")] * 3000 + [(1, "word " * 100_000, None), (2, None, "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS BIN_GROUP").repartition(4)
+    out = pack(docs, together=100).collect()
+    same = [r for r in out if r["doc_id"] is None]
+    sizes = Counter(r["bin_group"] for r in same)
+    assert len(same) == 3000 and max(sizes.values()) < 250 and len(sizes) > 20
+    assert sum(r["length"] for r in out if r["doc_id"] == 1) == 100_000 and {(r["doc_id"], r["length"], r["bin_no"]) for r in out if r["doc_id"] in (2, 3)} == {(2, 0, None), (3, 0, None)}
+    assert pack(docs.limit(0)).count() == 0
