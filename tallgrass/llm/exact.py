@@ -61,10 +61,10 @@ def normal(text: Column, fold: Fold) -> Column:
 
 
 def content_sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: Column, fold: Fold) -> DataFrame:
-    """(part, id, row): range partitions of the normalised bytes, each in order of them, the row that stays in front of its equals.
+    """(part, id, spread, row, norm): range partitions of the normalised bytes, each in order of them, the row that stays in front of its equals.
 
     A content that fills several ranges is dealt over them by a hash of its rows' ids, so that a group of copies of
-    any size is spread. The sort is Spark's external one, which spills to disk.
+    any size is spread; only such a content's rows are in more than one range. The sort is Spark's external one, which spills to disk.
     """
     rows = docs.select(docs[id_col].alias("id"), carry.alias("row"))
     borders = docs.sparkSession.sparkContext.broadcast(splitters(rows, text_col, fold))
@@ -72,16 +72,17 @@ def content_sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = borders.value
         for batch in batches:
-            parts = []
+            parts, spread = [], []
             for k, text in enumerate(as_bytes(batch.column("row").field(text_col))):
                 key = sort_key(fold(text))
                 low = bisect_left(known, key)
                 same = bisect_right(known, key, low) - low
                 parts.append(low + zlib.crc32(repr(batch.column("id")[k].as_py()).encode()) % same if same > 1 else low)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column("id"), batch.column("row")], names=["part", "id", "row"])
+                spread.append(same > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column("id"), pa.array(spread, pa.bool_()), batch.column("row")], names=["part", "id", "spread", "row"])
 
     # texts are normalised again behind the shuffle, so that each is sent once
-    kind = f"part int, id {rows.schema['id'].dataType.simpleString()}, row {rows.schema['row'].dataType.simpleString()}"
+    kind = f"part int, id {rows.schema['id'].dataType.simpleString()}, spread boolean, row {rows.schema['row'].dataType.simpleString()}"
     whole = arrow_map(rows, deal, kind).repartition("part").withColumn("norm", normal(F.col("row").getField(text_col), fold))
     return whole.sortWithinPartitions("part", "norm", F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last())
 
@@ -111,16 +112,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and equal ids just one is kept; a null id stays only where a group has no other. Ids may be of any type that sorts.
     An empty table gives no rows; other columns aren't read, whatever they are called. Long texts are compared whole.
 
-    Neighbours in the order of contents are compared in full. A run of equal texts that goes on in another range is put together from the
-    first and last run of each range, whose whole texts are compared too: two texts for each range.
+    Neighbours in the order of contents are compared in full. Runs of a content that is spread over ranges, and pieces of a very long run, are put
+    together by their whole texts, one for each range or piece.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_was, text_was, run, first = None, None, 0, True
+        part_was, text_was, spread_was, run, first = None, None, False, 0, False
         held: list = []
 
         def flush(last: bool) -> pa.RecordBatch:
-            n, edge = len(held), first or last
+            n, edge = len(held), first or last or spread_was
             columns = [
                 pa.array([x[0] for x in held], kind), pa.array([held[0][0]] * n, kind), pa.array([n] * n, pa.int64()), pa.array([True] + [False] * (n - 1)), pa.array([hashlib.sha256(text_was).digest()] * n, pa.binary()),
                 pa.array([part_was] * n, pa.int32()), pa.array([run] * n, pa.int32()), pa.array([text_was if edge else None] + [None] * (n - 1), pa.binary()), pa.array([x[1] for x in held], carried),
@@ -131,24 +132,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = carried = None
         for batch in batches:
             kind, carried = batch.schema.field("id").type, batch.column("row").field("also").type
-            for part, row, text, more in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), as_bytes(batch.column("norm")), batch.column("row").field("also").to_pylist(), strict=True):
+            for part, row, spread, text, more in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "spread")), as_bytes(batch.column("norm")), batch.column("row").field("also").to_pylist(), strict=True):
                 same = part == part_was and text == text_was
                 if held and (not same or len(held) >= HELD):
-                    ready.append(flush(same or part != part_was))
+                    ready.append(flush(same))
                     if len(ready) >= 1024:
                         yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
                         ready = []
-                    held, run, first = [], run + 1, same or part != part_was
-                part_was, text_was = part, text
+                    held, run, first = [], run + 1, same
+                part_was, text_was, spread_was = part, text, spread
                 held.append((row, more))
         if held:
-            ready.append(flush(True))
+            ready.append(flush(False))
         if ready:
             yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
     text = "text"
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias(text), F.struct(*(docs[c] for c in also) or [F.lit(0).alias("none")]).alias("also"))
-    spread = content_sorted(rows, "id", text, keep, F.struct("text", "also"), fold).select("part", "id", "norm", "row")
+    spread = content_sorted(rows, "id", text, keep, F.struct("text", "also"), fold).select("part", "id", "spread", "norm", "row")
     kind, more = rows.schema["id"].dataType.simpleString(), rows.schema["also"].dataType.simpleString()
     slim = cut(arrow_map(spread, local, f"id {kind}, keep_id {kind}, group_size long, kept boolean, sha binary, part int, run int, text binary, also {more}"))
     runs = slim.where("text is not null").select(F.col("keep_id").alias("id"), "group_size", "part", "run", "text")
@@ -173,23 +174,20 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_was, text_was, run = None, None, -1
         for batch in batches:
-            begins, runs, fronts = [], [], []
+            begins, runs = [], []
             for part, text in zip(batch.column("part").to_pylist(), as_bytes(batch.column("norm")), strict=True):
                 begin = part != part_was or text != text_was
                 if begin:
                     run += 1
                     runs.append(run)
-                    fronts.append(part != part_was)
                 begins.append(begin)
                 part_was, text_was = part, text
             kept = batch.filter(pa.array(begins, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("row", "id", "part")), pa.array([hashlib.sha256(x).digest() for x in as_bytes(kept.column("norm"))], pa.binary()), pa.array(runs, pa.int32()), pa.array(fronts, pa.bool_())], names=["row", "id", "part", "sha", "run", "front"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("row", "id", "part", "spread")), pa.array(runs, pa.int32())], names=["row", "id", "part", "spread", "run"])
 
     rows = content_sorted(docs, id_col, text_col, keep, F.struct(*(docs[c] for c in docs.columns)), fold_case)
-    slim = stored(arrow_map(rows, heads, f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, part int, sha binary, run int, front boolean"))
-    # the row in front of a range may go on with a run of the range before: only contents that are in front somewhere can cross
-    fronts = slim.where("front").select("sha").distinct()
-    runs = slim.join(F.broadcast(fronts), "sha", "left_semi").select("id", "part", "run", normal(F.col("row").getField(text_col), fold_case).alias("text"))
+    slim = stored(arrow_map(rows, heads, f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, part int, spread boolean, run int"))
+    runs = slim.where("spread").select("id", "part", "run", normal(F.col("row").getField(text_col), fold_case).alias("text"))
     losers = crossing(runs, keep, F.lit(1)).where("not wins").select("at_part", "at_run")
     return slim.join(F.broadcast(losers), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left_anti").select("row.*")
 
