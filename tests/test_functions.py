@@ -129,6 +129,13 @@ def test_comments_keep_lines(spark):
     assert got == ["a\n\nb\nd", "", "a\rc", "/* open", "x  z"]
 
 
+def test_line_comments_end_at_line_ends_only(spark):
+    others = "\x00\t\x0b\x0c\x85\u2027\u202a\ud7ff\ue000\ufffe\U00010000\U0010ffff"
+    texts = [f"a//{others}{end}b" for end in "\n\r\u2028\u2029"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "c string").select(strip_comments(F.col("c"))).collect()]
+    assert got == [f"a{end}b" for end in "\n\r\u2028\u2029"]
+
+
 def test_lines_against_a_split(spark):
     text = "a\nbb\r\n\nc\rd\n"
     df = spark.range(len(text) + 2).select(F.col("id").cast("int").alias("o"), F.lit(text).alias("t"))
