@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, LOWER_AZ, UPPER_AZ, arrow_map, as_bytes, cut, stored
+from .common import LOWER, LOWER_AZ, UPPER_AZ, arrow_map, as_bytes, checked_small, cut, stored
 
 #: Leading bytes of a normalised text that a splitter holds; longer texts that agree in all of them are told apart by their
 #: SHA-256. Ranges for each shuffle partition; texts sampled for each range, and in all.
@@ -105,6 +105,11 @@ def crossing(runs: DataFrame, keep: str, size: Column) -> DataFrame:
     return each.select(F.col("at.part").alias("at_part"), F.col("at.run").alias("at_run"), F.col("best.id").alias("all_id"), "all_size", wins.alias("wins"))
 
 
+def small_crossing(runs: DataFrame, keep: str, size: Column) -> DataFrame:
+    """crossing(), broadcast if it is small enough: a very common text has a run for every HELD rows. Else a join shuffles by run, of which none is hot."""
+    return checked_small(cut(crossing(runs, keep, size)), held=F.length(F.col("all_id").cast("string")))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", also: tuple[str, ...] = (), fold: Fold = fold_case) -> DataFrame:
     """One row per row of docs: id, keep_id (id of the row that stays), group_size, kept, text_sha256, and the columns in also.
 
@@ -153,7 +158,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind, more = rows.schema["id"].dataType.simpleString(), rows.schema["also"].dataType.simpleString()
     slim = cut(arrow_map(spread, local, f"id {kind}, keep_id {kind}, group_size long, kept boolean, sha binary, part int, run int, text binary, also {more}"))
     runs = slim.where("text is not null").select(F.col("keep_id").alias("id"), "group_size", "part", "run", "text")
-    joined = slim.join(F.broadcast(crossing(runs, keep, F.col("group_size"))), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left")
+    joined = slim.join(small_crossing(runs, keep, F.col("group_size")), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("wins").isNull(), F.col("keep_id")).otherwise(F.col("all_id")).alias("keep_id"),
@@ -188,7 +193,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = content_sorted(docs, id_col, text_col, keep, F.struct(*(docs[c] for c in docs.columns)), fold_case)
     slim = stored(arrow_map(rows, heads, f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, part int, spread boolean, run int"))
     runs = slim.where("spread").select("id", "part", "run", normal(F.col("row").getField(text_col), fold_case).alias("text"))
-    losers = crossing(runs, keep, F.lit(1)).where("not wins").select("at_part", "at_run")
-    return slim.join(F.broadcast(losers), (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left_anti").select("row.*")
+    losers = checked_small(cut(crossing(runs, keep, F.lit(1)).where("not wins").select("at_part", "at_run")))
+    return slim.join(losers, (F.col("part") == F.col("at_part")) & (F.col("run") == F.col("at_run")), "left_anti").select("row.*")
 
 

@@ -289,7 +289,7 @@ def test_lines(spark):
 
 def test_exact_of_odd_tables(spark, monkeypatch):
     """Ids of text, contents that agree over a splitter's whole length, runs held in pieces, empty tables."""
-    from tallgrass.llm import exact
+    from tallgrass.llm import common, exact
 
     docs = spark.createDataFrame([("b", "X", 1), ("a", "x", 2), ("c", None, 3), (None, "", 4), ("a", "x", 5)], "doc_id string, text string, PART int")
     got = sorted(map(tuple, exact_groups(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept").collect()), key=repr)
@@ -303,9 +303,11 @@ def test_exact_of_odd_tables(spark, monkeypatch):
     groups = defaultdict(list)
     for i, t in rows:
         groups[t].append(i)
-    got = exact_groups(docs_of(spark, rows), keep="smallest").collect()
-    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, ids[0], len(ids), i == ids[0]) for ids in groups.values() for i in ids} and len(got) == 600
-    assert sorted(r["doc_id"] for r in drop_exact(docs_of(spark, rows)).collect()) == sorted(ids[0] for ids in groups.values())
+    for most in (common.BROADCAST_ROWS, 0):  # runs that cross are broadcast, or joined by a shuffle
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = exact_groups(docs_of(spark, rows), keep="smallest").collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(i, ids[0], len(ids), i == ids[0]) for ids in groups.values() for i in ids} and len(got) == 600
+        assert sorted(r["doc_id"] for r in drop_exact(docs_of(spark, rows)).collect()) == sorted(ids[0] for ids in groups.values())
 
 
 def test_empty_tables_and_long_texts(spark):
