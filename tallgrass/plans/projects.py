@@ -16,7 +16,11 @@ from ..sources.manifests import declared_packages, parse_manifests
 
 def read_manifests(spark: SparkSession, roots: Mapping[str, str] | DataFrame) -> DataFrame:
     """Parsed manifests of projects (id to root, or a table of both), with the error of those that can't be read or aren't objects."""
-    read = read_files(roots_table(spark, roots).select("project_id", F.concat(F.regexp_replace("root", "(?<=.)/+$", ""), F.lit("/package.json")).alias("path")))
+    return manifests_of(read_files(roots_table(spark, roots).select("project_id", F.concat(F.regexp_replace("root", "(?<=.)/+$", ""), F.lit("/package.json")).alias("path"))))
+
+
+def manifests_of(read: DataFrame) -> DataFrame:
+    """The same of texts that were read (project_id, path, content, error)."""
     parsed = parse_manifests(read.where("error is null").withColumnRenamed("content", "raw"))
     failed = read.where("error is not null").select("project_id", "path", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.array().cast(parsed.schema["declared"].dataType).alias("declared"), "error")
     return parsed.unionByName(failed)
@@ -24,15 +28,24 @@ def read_manifests(spark: SparkSession, roots: Mapping[str, str] | DataFrame) ->
 
 def project_imports(spark: SparkSession, roots: Mapping[str, str] | DataFrame, exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
     """Imports of all files of the projects; file is the absolute path."""
-    files = source_files(spark, roots, exclude, auto_detect, path_mode).select("project_id", F.col("path").alias("file"), "content")
-    return extract_imports(files)
+    return imports_of(source_files(spark, roots, exclude, auto_detect, path_mode))
+
+
+def imports_of(read: DataFrame) -> DataFrame:
+    """The same of texts that were read (project_id, path, content)."""
+    return extract_imports(read.select("project_id", F.col("path").alias("file"), "content"))
 
 
 def audit_projects(spark: SparkSession, roots: Mapping[str, str] | DataFrame, options: Options = Options(), exclude: Sequence[str] = (), auto_detect: bool = True, path_mode: str = "relative") -> DataFrame:
     """One report row per project with a readable manifest. Nothing is kept: files are scanned once for usage and once for
     locations. project_audit keeps them in between."""
-    manifests = read_manifests(spark, roots).where("error is null")
-    return audit(manifests, declared_packages(manifests), project_imports(spark, roots, exclude, auto_detect, path_mode), options)
+    return audit_read(read_manifests(spark, roots), project_imports(spark, roots, exclude, auto_detect, path_mode), options)
+
+
+def audit_read(manifests: DataFrame, imports: DataFrame, options: Options = Options()) -> DataFrame:
+    """The same of manifests, with those that can't be read, and imports."""
+    fine = manifests.where("error is null")
+    return audit(fine, declared_packages(fine), imports, options)
 
 
 @contextmanager
