@@ -6,10 +6,8 @@ listed and files read by functions on the executors. The roots must be visible t
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
@@ -217,37 +215,6 @@ def on_trees(files: DataFrame, more: Callable[[str], Mapping[str, str]], work: C
     return files.mapInPandas(run, schema)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: below the session's checkpoint folder, or on this machine for a local master."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if named.startswith(("file:", "/")):
-        base = "/" + named.removeprefix("file:").lstrip("/")
-        os.makedirs(base, exist_ok=True)
-    elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        base = None
-    else:
-        raise RuntimeError("files of projects need a folder that all executors see under one local path")
-    out = tempfile.mkdtemp(prefix="projects-", dir=base)
-    atexit.register(shutil.rmtree, out, ignore_errors=True)
-    return out
-
-
-def write_files(files: DataFrame) -> None:
-    """Writes files (path, content), each by the task that has its row; a task that runs again writes the same."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="") as f:
-                    f.write(content)
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    files.select("path", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
-
-
 def kept(df: DataFrame) -> DataFrame:
     """The same rows as a compressed table, for rows that are read more than once: below the session's checkpoint folder, or on this machine for a
     local master. It goes when the application ends."""

@@ -20,7 +20,7 @@ def left(folder):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["audit_tree", "read_tree"])
+@pytest.mark.parametrize("name", ["audit_tree", "read_tree", "scan_tree"])
 def test_no_tree_stays(spark, name):
     shared = spark.conf.get("spark.checkpoint.dir")
     before = [set(left(x)) for x in (shared, *Path(tempfile.gettempdir()).glob("projects-*"))]
